@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, tokenstore
+from . import bpe, decontaminate, neardup, quality, substring, tokenstore
 from .common import scratch_path, table
 from .oracles import ORACLES
 
@@ -26,6 +26,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85).drop("th")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenstore.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
