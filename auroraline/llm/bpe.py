@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common
 from .pieces import Cut, PieceIds, byte_symbols, load_vocabulary
@@ -174,7 +175,7 @@ def text_chunks(column: pa.Array) -> Iterator[list[str]]:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``decoded`` string; a null text is taken as empty.  Other columns pass through."""
     docs = docs.drop("ids", "decoded")
-    schema = docs.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -201,7 +202,7 @@ def decode(docs: DataFrame, path: str) -> DataFrame:
             texts = [None if r is None else " ".join([tokens[i] for i in r]) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return docs.mapInArrow(stage, docs.schema.add("decoded", "string"))
+    return docs.mapInArrow(stage, T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

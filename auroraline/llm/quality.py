@@ -158,6 +158,28 @@ def cutoffs(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
     return passed.select("stratum", "rule", last["cutoff"].alias("cutoff")).where("cutoff is not null")
 
 
+def _wide(found: DataFrame) -> DataFrame:
+    """A row per stratum with a column _<rule> for each cutoff, with a hint to broadcast while it is small; beyond that size Spark shuffles and splits hot strata."""
+    wide = found.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
+    return wide.hint("broadcast") if found.count() <= MAX_STRATA * len(RULES) else wide
+
+
+def _broken() -> Column:
+    return F.coalesce(*[F.when(_score(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES])
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``docs`` without those that a base or controlled rule rejects; columns and their values as before."""
+    if stratum not in docs.columns:
+        docs_in = docs.withColumn(stratum, F.lit(None).cast("string"))
+    else:
+        docs_in = docs
+    found = common.cut(cutoffs(common.cut(features(docs_in, (stratum,)), "quality"), labels, stratum, alpha, delta), "cutoffs")
+    whole = docs_in.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
+    judged = features(whole, ("_row", "_stratum")).join(_wide(found), F.col("_stratum") == F.col("stratum"), "left")
+    return judged.where(~F.col("base_failed") & _broken().isNull()).select("_row.*")
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The features of each document, ``base_failed``, ``failed_rule`` (null if none) and ``kept``.
 
@@ -169,11 +191,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     if stratum not in feats.columns:
         feats = feats.withColumn(stratum, F.lit(None).cast("string"))
     found = common.cut(cutoffs(feats, labels, stratum, alpha, delta), "cutoffs")
-    wide = found.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
     key = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    small = found.count() <= MAX_STRATA * len(RULES)  # a size that is checked; beyond it Spark shuffles and splits hot strata
-    judged = feats.withColumn("_stratum", key).join(wide.hint("broadcast") if small else wide, F.col("_stratum") == F.col("stratum"), "left")
-    broken = F.coalesce(*[F.when(_score(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES])
+    judged = feats.withColumn("_stratum", key).join(_wide(found), F.col("_stratum") == F.col("stratum"), "left")
+    broken = _broken()
     return judged.select(
         "doc_id", F.col("_stratum").alias("stratum"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(~F.col("base_failed"), broken).alias("failed_rule"),

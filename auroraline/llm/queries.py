@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, substring, tokenstore
-from .common import scratch_path, table
+from . import bpe, decontaminate, neardup, quality, rollup, substring, tokenstore
+from .common import cut, scratch_path, table
 from .oracles import ORACLES
 
 
@@ -42,6 +43,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those that a label calls bad are deleted; those in which both versions differ get their old version revised to the new one; then all batches come again."""
+    names = list(rollup.TOKENIZERS)
+    counts = cut(rollup.counted(table(spark, sf_dir, "documents")), "counts")
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg({"quality": "min"}).where("`min(quality)` = 0").select("doc_id")
+    ledger = rollup.Ledger(spark, scratch_path(spark, "ledger"))
+    old, new = names
+    differ = counts.join(bad, "doc_id", "left_anti").where(f"`{old}` <> `{new}`")
+    revised = differ.select("source", "lang", "n_chars", F.explode(F.array(F.struct(F.lit(-1).alias("s"), F.col(f"`{old}`").alias("n")), F.struct(F.lit(1).alias("s"), F.col(f"`{new}`").alias("n")))).alias("r"))
+    batches = {
+        "inserts": rollup.deltas(counts, names),
+        "deletes": rollup.deltas(counts.join(bad, "doc_id", "left_semi"), names, -1),
+        "revisions": rollup.deltas(revised.select("source", "lang", "n_chars", "r.s", F.col("r.n").alias(old)), [old], F.col("s")),
+    }
+    for name in [*batches, *batches]:
+        ledger.commit(name, batches[name])
+    return ledger.totals()
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 

@@ -288,12 +288,14 @@ def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
         parts.append(text[at:] if not lost else b"")
         return b"".join(parts).rstrip(b" \t\n\r\x0b\x0c") if lost else b"".join(parts)
 
+    columns = docs.columns
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.names.index("text")
             starts = batch.column(batch.schema.names.index("_starts")).to_pylist()
             texts = [t.as_py() if not s else shorten(t.as_buffer().to_pybytes(), s).decode("utf-8", "surrogatepass") for t, s in zip(batch.column(k), starts, strict=True)]
-            yield batch.set_column(k, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield batch.set_column(k, "text", pa.array(texts, pa.string())).select(columns)
 
     return _joined(docs, span).mapInArrow(stage, docs.schema)
 
