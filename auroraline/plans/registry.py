@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("physics",)
+MODULES = ("physics", "windows", "joins")
 
 
 def _load() -> None:
