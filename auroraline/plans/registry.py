@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("physics", "windows", "joins", "aggregates", "folds")
+MODULES = ("physics", "windows", "joins", "aggregates", "folds", "fits")
 
 
 def _load() -> None:
