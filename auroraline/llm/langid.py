@@ -190,6 +190,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def _documents(field: Field, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    if not field.langs:
+        return [UNDETERMINED] * len(texts), [0.0] * len(texts)
     data, offsets = lower_bytes(texts)
     words = common.Words(data, offsets, _OUT)
     first, size = _spread(words.counts)
@@ -197,9 +199,9 @@ def _documents(field: Field, texts: list[str | None]) -> tuple[list[str], list[f
     sums = np.zeros((len(words) + 1, len(field.langs)))
     np.cumsum(marginal, axis=0, out=sums[1:])
     mean = (sums[words.first[1:]] - sums[words.first[:-1]]) / np.maximum(words.counts, 1)[:, None]
-    best = mean.argmax(1) if len(field.langs) else np.zeros(len(texts), int)
+    best = mean.argmax(1)
     ascii_letter = np.add.reduceat(np.append(~_OUT[data] & (data < 128), False), offsets[:-1] - offsets[0]) * (np.diff(offsets) > 0) if len(texts) else np.zeros(0)
-    known = [bool(len(field.langs) and n and (a or has_letter(t))) for t, n, a in zip(texts, words.counts.tolist(), ascii_letter.tolist(), strict=True)]
+    known = [bool(n and (a or has_letter(t))) for t, n, a in zip(texts, words.counts.tolist(), ascii_letter.tolist(), strict=True)]
     langs = [field.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known, strict=True)]
     scores = [min(1.0, max(0.0, float(mean[i, b]))) if ok else 0.0 for i, (b, ok) in enumerate(zip(best.tolist(), known, strict=True))]
     return langs, scores

@@ -1,0 +1,392 @@
+"""Every operator against a plain version, on rows with nulls, ties, copies, long and empty texts and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from auroraline.llm import bpe, decontaminate, langid, lm_score, neardup, quality, rollup, substring, tokenstore, toxicity
+from auroraline.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, n int, th string, node string, items string"
+BIG = 2**63 - 1
+
+
+def corpus() -> list[tuple[int | None, str | None]]:
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(("an", "th", "er", "Re", "é", "on", "x")) for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    base, passage = text(300), text(70)
+    rows = [(1, base), (2, base), (3, base.upper()), (4, base.replace(" ", "\n", 40))]
+    for i in range(5, 15):
+        words = base.split(" ")
+        for _ in range(rng.randint(1, 25)):
+            words[rng.randrange(len(words))] = word()
+        rows.append((i, " ".join(words)))
+    rows += [(20 + i, f"{text(40)} {passage}  {text(30)}\n{text(20)}") for i in range(12)]
+    rows += [(40 + i, text(rng.randint(1, 60))) for i in range(30)]
+    rows += [(80, None), (81, ""), (82, "  \n\t "), (83, "one two"), (84, "one two"), (85, "One  TWO"), (86, "single"), (87, text(6000)), (88, "😀 漢字 naïve 'tis it's " * 20)]
+    rows += [(None, base), (None, None), (None, text(80)), (20, rows[14][1]), (20, rows[14][1]), (90, "again and again and again " * 30), (91, f"{passage} {passage}")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(d, t, ["en", "fr", None][(d or 0) % 3], "s", 0, 7, 8, "a", "b", "c") for d, t in corpus()], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text, rule=WORD):
+    return rule.findall(text or "")
+
+
+def lower(text):
+    return (text or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+ITEMS = [(1, " ".join(words(corpus()[0][1])[100:115])), (2, "one two"), (3, None), (4, ""), (5, "!!"), (6, " ".join(words(corpus()[0][1])[100:115])), (None, "single"), (7, "never seen in any of these texts at all my friend so")]
+
+
+@pytest.mark.parametrize("block", [400_000, 3])
+def test_decontaminate(spark, docs, empty, block):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want = []
+    for doc_id, text in corpus():
+        own, hit, ids = words(lower(text), rule), set(), set()
+        for item_id, item in ITEMS:
+            w = words(lower(item), rule)
+            size = min(10, len(w))
+            for i in range(len(w) - size + 1 if size else 0):
+                for j in range(len(own) - size + 1):
+                    if own[j : j + size] == w[i : i + size]:
+                        hit |= set(range(j, j + size))
+                        ids |= {item_id} - {None}
+        want.append((doc_id, len(own), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)))
+    marked = decontaminate.mark(docs, items, block_windows=block)
+    assert got(decontaminate.digest(marked)) == sorted(want, key=str)
+    assert sum(r[-1] for r in want) > 5
+    kept = decontaminate.remove_documents(docs, items, block_windows=block)
+    assert kept.columns == docs.columns and kept.count() == sum(not r[-1] for r in want)
+    assert decontaminate.mark(empty, items).count() == 0
+    assert decontaminate.remove_documents(docs, items.limit(0)).count() == docs.count()
+    if block > 3:
+        left = decontaminate.remove_spans(docs, items)
+        assert decontaminate.mark(left.where("doc_id = 83"), items).select(F.size("hit_words")).first()[0] == 0
+
+
+def sets(text, width):
+    w = words(lower(text))
+    return {tuple(w)} - {()} if len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(docs, empty, width, percent):
+    rows = corpus()
+    own = [sets(t, width) for _, t in rows]
+    component = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if own[i] and own[j] and 100 * len(own[i] & own[j]) >= percent * len(own[i] | own[j]):
+                a, b = component[i], component[j]
+                component = [b if c == a else c for c in component]
+    want = []
+    for i, (doc_id, _) in enumerate(rows):
+        least = min((BIG if rows[k][0] is None else rows[k][0]) for k in range(len(rows)) if component[k] == component[i])
+        mine = BIG if doc_id is None else doc_id
+        want.append((doc_id, len(own[i]), None if least == BIG else least, mine == least))
+    found = neardup.near_duplicates(docs, width, percent)
+    assert got(found.select("doc_id", "n_shingles", "component_id", "kept")) == sorted(want, key=str)
+    kept = neardup.drop_near_duplicates(docs, width, percent)
+    assert kept.columns == docs.columns
+    assert sorted(r[0] for r in kept.where("doc_id is not null").select("doc_id").collect()) == sorted({r[0] for r in want if r[3] and r[0] is not None})
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
+
+
+def test_crowds_lose_no_link(spark):
+    """Many documents share most of their words without being alike; some pairs among them are."""
+    rng = random.Random(5)
+    common_part = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        tail = [f"t{i}_{k}" for k in range(60)]
+        rows.append((2 * i, " ".join(common_part + tail)))
+        near = tail.copy()
+        near[rng.randrange(60)] = "other"
+        rows.append((2 * i + 1, " ".join(common_part + near)))
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
+def test_signatures_agree_with_similarity():
+    rng = np.random.default_rng(1)
+    a = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    b = np.sort(np.concatenate([a[:320], rng.integers(0, 2**64, 80, dtype=np.uint64)]))
+    x, y = (neardup.signatures(s, np.array([len(s)]))[0] for s in (a, b))
+    assert abs((x == y).mean() - 320 / 480) < 0.12
+    one = neardup.signatures(a[:1], np.array([1]))
+    assert (one == a[0]).all()
+    assert (neardup.signatures(a[:0], np.array([0])) == 0).all()
+
+
+def test_repeated_spans(docs, empty, monkeypatch):
+    rows = corpus()
+    first = {}
+    for doc_id, text in rows:
+        w = words(text)
+        for i in range(len(w) - 49):
+            key = tuple(w[i : i + 50])
+            first[key] = min(first.get(key, BIG), BIG if doc_id is None else doc_id)
+    want, kept_words = [], {}
+    for doc_id, text in rows:
+        w = words(text)
+        gone = set()
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < (BIG if doc_id is None else doc_id):
+                gone |= set(range(i, i + 50))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        kept_words[(doc_id, text)] = kept
+        want.append((doc_id, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    assert sum(r[2] > 0 for r in want) > 10
+    assert got(substring.digest(docs)) == sorted(want, key=str)
+    left = substring.remove(docs)
+    assert left.columns == docs.columns
+    by_id = {}
+    for r in left.where("doc_id is not null").collect():
+        by_id.setdefault(r["doc_id"], set()).add(tuple(words(r["text"])))
+    for (doc_id, _), kept in kept_words.items():
+        if doc_id is not None:
+            assert tuple(kept) in by_id[doc_id]
+    assert substring.digest(empty).count() == 0
+    monkeypatch.setattr(substring, "SHARD_SEGMENTS", 1)  # every shared minimiser is decided window by window
+    assert got(substring.digest(docs)) == sorted(want, key=str)
+
+
+def test_suffix_automaton():
+    rng = random.Random(9)
+    for _ in range(60):
+        earlier = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(4)]
+        automaton = substring.SuffixAutomaton()
+        for e in earlier:
+            automaton.add(e)
+        text = [rng.choice("abc") for _ in range(15)]
+        has = {tuple(e[i : i + 4]) for e in earlier for i in range(len(e) - 3)}
+        assert automaton.matches(text, 4) == [i for i in range(12) if tuple(text[i : i + 4]) in has]
+
+
+def test_quality_features(docs, empty):
+    want = []
+    for doc_id, text in corpus():
+        w = words(text)
+        seen, again = {}, set()
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                again |= {i + k for i in places for k in range(3)}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        want.append((doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again), failed))
+    found = quality.features(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got(found) == sorted(want, key=str)
+    assert quality.features(empty).count() == 0
+
+
+def test_quality_without_evidence(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    judged = quality.judge(docs, none)
+    assert judged.where("kept = base_failed").count() == 0 and judged.count() == docs.count()
+    assert quality.judge(empty, none).count() == 0
+    kept = quality.keep_documents(docs, none)
+    assert kept.columns == docs.columns and kept.count() == judged.where("kept").count()
+
+
+def test_binomial_tail(spark):
+    cases = [(10, 0, 0.1), (100, 3, 0.1), (5000, 80, 0.02), (200000, 3800, 0.02), (50, 20, 0.1)]
+    for n, k, p in cases:
+        exact = 1.0 if k >= n * p else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+        found = spark.range(1).select(quality.binomial_tail(F.lit(n), F.lit(k), p)).first()[0]
+        assert found == pytest.approx(exact, rel=1e-8)
+
+
+def test_controlled_cutoffs_respect_their_risk(spark):
+    rng = random.Random(2)
+    clean = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80)), "en") for i in range(1500)]
+    noisy = [(5000 + i, " ".join(f"w{rng.randrange(10**6)}###" for _ in range(80)), "en") for i in range(60)]
+    docs = spark.createDataFrame(clean + noisy, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1 if d < 5000 else 0, 0) for d, *_ in clean + noisy], "doc_id long, quality int, toxic int")
+    rows = quality.judge(docs, labels).collect()
+    assert all(not r["kept"] for r in rows if r["doc_id"] >= 5000)
+    assert sum(not r["kept"] for r in rows if r["doc_id"] < 5000) <= quality.ALPHA * len(clean)
+
+
+def test_bpe(docs, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for doc_id, text in corpus():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    path = tokenizer_path("word_bpe_49k.json")
+    assert got(bpe.digest(docs, path)) == sorted(want, key=str)
+    both = bpe.decode(bpe.encode(docs, path).withColumnRenamed("decoded", "direct"), path)
+    assert both.where("not (direct <=> decoded)").count() == 0
+    assert bpe.digest(empty, path).count() == 0
+
+
+def _odd_texts() -> list[str]:
+    rng = random.Random(8)
+    parts = "a b's 't it're l'll 'd ' '' \n \t\r  é É ß Σσς İ 12 ٣ 漢字 か゚ ﷺ 😀 <|endoftext|> <|startoftext|> 'S _-— \x1c \x85 Ǆ ﬁ".split(" ")
+    return ["", *["".join(rng.choice(parts + [" ", "  "]) for _ in range(rng.randint(1, 25))) for _ in range(800)]]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoders_match_the_library(name):
+    from tokenizers import Tokenizer
+
+    texts = _odd_texts()
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)]
+    if name.startswith("word"):
+        assert [i.tolist() for i, _ in bpe.encoder(tokenizer_path(name)).encode(texts)] == want
+    else:
+        ids, counts = tokenstore.byte_encoder(tokenizer_path(name)).encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    path = str(tmp_path / "tokens")
+    tokenstore.write(docs, tokenizer_path("byte_bpe_50k.json"), path)
+    rows = tokenstore.read_digest(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted((d for d, _ in corpus()), key=lambda d: -1 if d is None else d)
+    at, left = 0, [(d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in corpus()]
+    for r in rows:
+        match = next(x for x in left if x[0] == r["doc_id"] and zlib.crc32(np.array(x[1], "<u4").tobytes()) == r["ids_crc32"])
+        left.remove(match)
+        assert (r["start"], r["n_tokens"]) == (at, len(match[1]))
+        at += len(match[1])
+    assert tokenstore.read_ids(spark, path).selectExpr("sum(size(ids))").first()[0] == at
+    tokenstore.write(empty, tokenizer_path("byte_bpe_50k.json"), path)
+    assert tokenstore.read_digest(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 59, 1023, 1024, 1025, 5000])
+def test_simple8b_round_trip(n):
+    rng = np.random.default_rng(n)
+    for top in (1, 2, 50257, 2**45, 2**64 - 1):
+        ids = rng.integers(0, top, n, dtype=np.uint64, endpoint=True)
+        ids[rng.random(n) < 0.5] %= np.uint64(7)
+        words_, per_block, escapes, _ = tokenstore.pack(ids)
+        assert (tokenstore.unpack(words_, per_block, escapes, n) == ids).all()
+
+
+def test_rollup_is_idempotent(spark, docs, tmp_path):
+    names = list(rollup.TOKENIZERS)
+    counts = rollup.counted(docs)
+    ledger = rollup.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.totals().count() == 0
+    assert ledger.commit("a", rollup.deltas(counts, names)) and not ledger.commit("a", rollup.deltas(counts, names))
+    total = {(r["source"], r["lang"]): r["n_tokens"] for r in ledger.totals().where("tokenizer = 'whitespace/1'").collect()}
+    assert sum(total.values()) == sum(len(words(t)) for _, t in corpus())
+    assert ("s", None) in total
+    ledger.commit("b", rollup.deltas(counts, names, -1))
+    assert ledger.totals().count() == 0 and ledger.batches() == ["a", "b"]
+
+
+def test_language(spark, empty):
+    rng = random.Random(4)
+    stems = {"en": ("the", "ing", "th", "sh"), "fr": ("eau", "ou", "é", "que"), "de": ("sch", "ung", "ei", "ü")}
+    text = lambda lang: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(40))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(rng.choice(sorted(stems)) for _ in range(400))] + [(9000, None, "en"), (9001, "12 !!", "en"), (None, text("fr"), "fr"), (9002, text("fr") + " 漢字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = langid.fit_field(docs, 60)
+    found = {r["doc_id"]: r for r in langid.predict(docs, field).collect()}
+    held = [r for r in rows[:400] if langid.is_held_out(r[0])]
+    assert all(found[r[0]]["held_out"] for r in held)
+    assert np.mean([found[r[0]]["lang_pred"] == r[2] for r in held]) > 0.97
+    assert found[9000]["lang_pred"] == found[9001]["lang_pred"] == "und" and found[9000]["score"] == 0.0
+    assert not found[None]["held_out"] and found[9002]["lang_pred"] == "fr"
+    mixed = langid.label_words(field, text("en") + " " + text("de"))
+    assert np.mean([w[1] == ("en" if i < 40 else "de") for i, w in enumerate(mixed)]) > 0.9
+    assert langid.predict(empty, field).count() == 0
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.fit_field(empty)).collect()} == {"und"}
+
+
+def test_forward_backward_matches_enumeration():
+    rng = np.random.default_rng(6)
+    field = langid.Field(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)))
+    e = rng.normal(size=(9, 3))
+    first, size = np.array([0, 4]), np.array([4, 5])
+    marginal, pairs = field.forward_backward(e, first, size)
+    total = np.zeros((3, 3))
+    for a, n in zip(first, size, strict=True):
+        weights = {}
+        for path in np.ndindex(*[3] * n):
+            weights[path] = math.exp(sum(e[a + t, y] for t, y in enumerate(path)) + sum(field.moves[path[t], path[t + 1]] for t in range(n - 1)))
+        z = sum(weights.values())
+        for t in range(n):
+            for y in range(3):
+                assert marginal[a + t, y] == pytest.approx(sum(w for p, w in weights.items() if p[t] == y) / z)
+        for p, w in weights.items():
+            for t in range(n - 1):
+                total[p[t], p[t + 1]] += w / z
+    assert pairs == pytest.approx(total)
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(7)
+    text = lambda bad: " ".join(rng.choice(("idiot", "trash")) if bad and rng.random() < 0.1 else f"w{rng.randrange(50)}" for _ in range(60))
+    rows = [(i, text(i % 4 == 0)) for i in range(400)] + [(1000, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(None, 1, 1), (200000, 1, 1)], "doc_id long, quality int, toxic int")
+    scored = {r["doc_id"]: r["p_toxic"] for r in toxicity.score(docs, toxicity.fit_chain(docs, labels)).collect()}
+    assert np.mean([(scored[i] >= 0.5) == (i % 4 == 0) for i in range(200, 400)]) > 0.95
+    assert scored[1000] < 0.5 and scored[1001] == scored[1000]
+    assert toxicity.score(empty, toxicity.fit_chain(empty, labels)).count() == 0
+
+
+def test_lm_prefers_its_language(spark, empty):
+    rng = random.Random(1)
+    sentence = lambda: " ".join([*rng.choice((("the", "cat", "sat"), ("a", "dog", "ran"))), rng.choice(("home", "far"))])
+    good = [(i, " ".join(sentence() for _ in range(40))) for i in range(3000)]
+    shuffled = good[0][1].split()
+    rng.shuffle(shuffled)
+    rows = [*good, (9000, " ".join(shuffled)), (9001, None), (9002, "")]
+    found = {r["doc_id"]: r for r in lm_score.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[9000]["mean_log_probability"] < found[0]["mean_log_probability"] - 0.5
+    assert found[9001]["n_tokens"] == 0 and found[9001]["mean_log_probability"] is None and found[9002]["pseudo_log_likelihood"] == 0
+    assert lm_score.fit_and_score(empty).count() == 0
+
+
+def test_lm_gradient():
+    rng = np.random.default_rng(2)
+    near, token = rng.integers(0, lm_score.SIZE, (64, 2 * lm_score.SIDE)), rng.integers(0, lm_score.SIZE, 64)
+    net = lm_score.Network.start()
+    before = net.log_probability(near, token).mean()
+    seen = lm_score.Network()
+    for _ in range(20):
+        net.step(near, token, seen)
+    assert net.log_probability(near, token).mean() > before + 1
+    whole = [np.logaddexp.reduce(net.log_probability(np.repeat(near[:1], lm_score.SIZE, 0), np.arange(lm_score.SIZE)))]
+    assert whole[0] == pytest.approx(0, abs=1e-3)
