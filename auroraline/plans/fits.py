@@ -11,12 +11,13 @@ from ..operators import linfit as L
 from ..operators.boost import boosted_residual
 from .base import CLEAN, LOG, clean, log, query
 
-o = Window.partitionBy("series").orderBy("h")
+def o():
+    return Window.partitionBy("series").orderBy("h")
 
 
 def _discovery(spark, sf_dir) -> DataFrame:
     """Rows with every term, and the change of the index to the next hour."""
-    rows = clean(spark, sf_dir).withColumn("rate", F.lead("dst_star").over(o) - F.col("dst_star"))
+    rows = clean(spark, sf_dir).withColumn("rate", F.lead("dst_star").over(o()) - F.col("dst_star"))
     return rows.where("quality = 1 and by_gsm is not null and rate is not null")
 
 
@@ -132,7 +133,7 @@ def stacked_scores(spark, sf_dir):
 @query("driver_autoregression", "state term", "coefficient radius")
 def driver_autoregression(spark, sf_dir):
     """Ridge vector autoregression of speed and field with two lags, and the radius of its companion matrix."""
-    rows = clean(spark, sf_dir).select("series", "h", *[F.lag(c, k).over(o).alias(f"{c}_{k}") for k in (0, 1, 2) for c in ("v", "bz")])
+    rows = clean(spark, sf_dir).select("series", "h", *[F.lag(c, k).over(o()).alias(f"{c}_{k}") for k in (0, 1, 2) for c in ("v", "bz")])
     terms = [(f"{c}_{k}", F.col(f"{c}_{k}")) for k in (1, 2) for c in ("v", "bz")]
     coef = np.array([L.ridge(L.moments(rows, [("one", F.lit(1.0)), *terms], F.col(f"{c}_0"))[()], 1.0) for c in ("v", "bz")])
     radius = L.spectral_radius(coef[:, 1:], 2)
@@ -144,7 +145,7 @@ def error_subset(spark, sf_dir):
     """At most three lags of the matured one-hour error, by BIC; refused where the recursion would not decay."""
     errors = log(spark, sf_dir).where("step = 1").select("series", F.col("target_h").alias("h"), (F.col("obs") - F.col("burton")).alias("e"))
     lags = (1, 2, 3, 4, 6, 9)
-    rows = errors.select("e", *[F.lag("e", k).over(o).alias(f"e_{k}") for k in lags])
+    rows = errors.select("e", *[F.lag("e", k).over(o()).alias(f"e_{k}") for k in lags])
     m = L.moments(rows, [(f"e_{k}", F.col(f"e_{k}")) for k in lags], F.col("e"))[()]
     names, coef, _ = L.best_subset(m, 3)
     line = np.zeros((1, max(lags)))
@@ -173,7 +174,7 @@ def sparse_residual(spark, sf_dir):
 @query("history_fit", "term", "coefficient")
 def history_fit(spark, sf_dir):
     """Box-limited coefficients of state, coupling and memory of the coupling."""
-    rows = _discovery(spark, sf_dir).withColumn("vb", 1e-3 * F.col("v") * F.col("bs")).withColumn("memory", F.avg("vb").over(o.rowsBetween(-6, -1)))
+    rows = _discovery(spark, sf_dir).withColumn("vb", 1e-3 * F.col("v") * F.col("bs")).withColumn("memory", F.avg("vb").over(o().rowsBetween(-6, -1)))
     m = L.moments(rows, [("state", F.col("dst_star")), ("drive", F.col("vb")), ("memory", F.col("memory"))], F.col("rate"))[()]
     low, high = np.array([-1.0, -20.0, -20.0]), np.array([0.0, 0.0, 20.0])
     w, step = np.clip(L.solve(m.gram, m.cross), low, high), 1 / np.linalg.eigvalsh(m.gram)[-1]
@@ -205,7 +206,7 @@ res AS (SELECT n_rows, (sy * dd - dy * sd) / (ss * dd - sd * sd) AS decay, (dy *
 )
 def least_squares_rate(spark, sf_dir):
     """Decay and coupling of the two-term model, by the general solver."""
-    rows = clean(spark, sf_dir).withColumn("rate", F.lead("dst_star").over(o) - F.col("dst_star"))
+    rows = clean(spark, sf_dir).withColumn("rate", F.lead("dst_star").over(o()) - F.col("dst_star"))
     m = L.moments(rows, [("decay", F.col("dst_star")), ("drive", F.col("v") * F.col("bs"))], F.col("rate"))[()]
     c = L.solve(m.gram, m.cross)
     return _table(spark, [(m.n, c[0], c[1])], "n_rows long, decay double, drive double")

@@ -14,12 +14,13 @@ def _events(spark, sf_dir):
     return live.stream_of(spark, f"{sf_dir}/events.parquet")
 
 
-_START = F.expr("timestampdiff(SECOND, timestamp'2024-01-01 00:00:00', start)")
+def _start():
+    return F.expr("timestampdiff(SECOND, timestamp'2024-01-01 00:00:00', start)")
 
 
 @query("stream_hourly", "s n_samples", "mean_value", f"res AS (SELECT CAST(floor({SECONDS} / 3600) AS BIGINT) * 3600 AS s, count(value) AS n_samples, CASE WHEN count(value) >= 10 THEN avg(value) END AS mean_value FROM events GROUP BY 1)")
 def stream_hourly(spark, sf_dir):
-    return live.run_to_end(live.hourly(_events(spark, sf_dir), 10), "complete", "hourly").withColumn("s", _START)
+    return live.run_to_end(live.hourly(_events(spark, sf_dir), 10), "complete", "hourly").withColumn("s", _start())
 
 
 @query(
@@ -27,7 +28,7 @@ def stream_hourly(spark, sf_dir):
     f"x AS (SELECT event_type, value, unnest([0, 300, 600]) AS back, {SECONDS} AS t FROM events), res AS (SELECT CAST(floor(t / 300) AS BIGINT) * 300 - back AS s, event_type, count(*) AS n, max(value) AS peak FROM x GROUP BY ALL)",
 )
 def stream_sliding(spark, sf_dir):
-    return live.run_to_end(live.sliding(_events(spark, sf_dir)), "complete", "sliding").withColumn("s", _START)
+    return live.run_to_end(live.sliding(_events(spark, sf_dir)), "complete", "sliding").withColumn("s", _start())
 
 
 @query(
@@ -37,7 +38,7 @@ res AS (SELECT g, min(t) AS s, count(*) AS size FROM y GROUP BY g, k)""",
 )
 def stream_sessions(spark, sf_dir):
     events = _events(spark, sf_dir).withColumn("g", F.col("user_id") % 16)
-    return live.run_to_end(live.sessions(events, "30 minutes"), "complete", "sessions").withColumn("s", _START)
+    return live.run_to_end(live.sessions(events, "30 minutes"), "complete", "sessions").withColumn("s", _start())
 
 
 @query("stream_first_of_key", "user_id h", "", f"res AS (SELECT DISTINCT user_id, CAST(floor({SECONDS} / 3600) AS BIGINT) AS h FROM events)")
