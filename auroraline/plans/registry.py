@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("physics", "windows", "joins", "aggregates", "folds", "fits", "sources", "serving", "streams")
+MODULES = ("physics", "windows", "joins", "aggregates", "folds", "fits", "sources", "serving", "forecasts", "streams")
 
 
 def _load() -> None:
