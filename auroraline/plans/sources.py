@@ -90,9 +90,11 @@ def bulletin_scan(spark, sf_dir):
     m = rows.groupBy(F.floor(F.col("h") / 24).alias("d"), (F.floor(F.col("h") % 24 / 3) * 3).alias("bin")).agg(F.max(F.round(F.greatest(-F.col("bz"), F.lit(0.0)) / 3 + OFF, 2)).alias("kp"))
     shown = m.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("issue_day", F.col("d") - F.col("k")).where("issue_day between 0 and 27")
     cell = F.concat(F.format_number("kp", 2), F.when(F.col("kp") >= 5, " (G1)").otherwise(""))
-    lines = shown.groupBy("issue_day", "bin").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", cell.alias("c")))), lambda x: x["c"]), "   ").alias("cells"))
+    # every line has a cell for each day; a day without a value has the fill
+    days = [F.coalesce(F.max(F.when(F.col("k") == k, cell)), F.lit("-1.00")) for k in range(3)]
+    lines = shown.groupBy("issue_day", "bin").agg(F.concat_ws("   ", *days).alias("cells"))
     text = lines.select("issue_day", F.concat(F.lpad(F.col("bin").cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("bin") + 3).cast("string"), 2, "0"), F.lit("UT   "), "cells").alias("line"))
-    bulletins = text.groupBy("issue_day").agg(F.concat(F.lit("NOAA Kp index forecast\n\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("text"))
+    bulletins = text.groupBy("issue_day").agg(F.concat(F.lit("Kp index forecast\n\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("text"))
     return feeds.parse_bulletin(bulletins, ["issue_day"])
 
 

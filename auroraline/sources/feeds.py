@@ -74,10 +74,10 @@ def parse_dst(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def parse_bulletin(rows: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """Long rows (bin, day, kp) of a three-day table: a line for each three-hour bin, a column for each day."""
+    """Long rows (bin, day, kp) of a three-day table: a line for each three-hour bin, a column for each day; negative fills are left out."""
     lines = rows.select(*keys, F.explode(F.split(column, "\n")).alias("line"))
     bins = lines.select(*keys, F.regexp_extract("line", r"^(\d\d)-(\d\d)UT", 1).alias("start"), F.regexp_extract_all("line", F.lit(r"(-?\d+\.\d+)(?:\s*\(G\d\))?"), F.lit(1)).alias("kp")).where("start <> ''")
-    return bins.select(*keys, F.col("start").cast("int").alias("bin"), F.posexplode("kp").alias("day", "kp")).withColumn("kp", F.col("kp").cast("double"))
+    return bins.select(*keys, F.col("start").cast("int").alias("bin"), F.posexplode("kp").alias("day", "kp")).withColumn("kp", F.col("kp").cast("double")).where("kp >= 0")
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
