@@ -28,7 +28,7 @@ class Moments:
 
 
 def moments(rows: DataFrame, terms: list[tuple[str, Column]], target: Column, by: list[str] | None = None) -> dict[tuple, Moments]:
-    """Moments for each group in ``by`` (one group () without it); rows with a null term or target are left out."""
+    """Moments for each group in ``by``; rows with a null term or target are left out.  Without ``by`` there is one group (), of zeros if no row is left."""
     names = [n for n, _ in terms]
     p = len(names)
     base = rows.select(*(by or []), *[e.cast("double").alias(f"_t{i}") for i, (_, e) in enumerate(terms)], target.cast("double").alias("_y"))
@@ -38,12 +38,10 @@ def moments(rows: DataFrame, terms: list[tuple[str, Column]], target: Column, by
     aggs += [F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"_g{i}_{j}") for i, j in pairs] + [F.sum(F.col(f"_t{i}") * F.col("_y")).alias(f"_c{i}") for i in range(p)]
     out = {}
     for r in base.groupBy(*(by or [])).agg(*aggs).collect():  # a row per group of the model
-        if not r["_n"]:
-            continue
         g = np.zeros((p, p))
         for i, j in pairs:
-            g[i, j] = g[j, i] = r[f"_g{i}_{j}"]
-        out[tuple(r[k] for k in by or [])] = Moments(names, r["_n"], g, np.array([r[f"_c{i}"] for i in range(p)]), r["_yy"])
+            g[i, j] = g[j, i] = r[f"_g{i}_{j}"] or 0.0
+        out[tuple(r[k] for k in by or [])] = Moments(names, r["_n"], g, np.array([r[f"_c{i}"] or 0.0 for i in range(p)]), r["_yy"] or 0.0)
     return out
 
 
@@ -55,7 +53,7 @@ def solve(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
 
 def ridge(m: Moments, penalty: float, free: tuple[int, ...] = (0,)) -> np.ndarray:
     """Ridge regression on columns of unit mean square; terms in ``free`` (the constant) are not penalised."""
-    scale = np.sqrt(np.maximum(np.diag(m.gram) / m.n, 1e-300))
+    scale = np.sqrt(np.maximum(np.diag(m.gram) / max(m.n, 1), 1e-300))
     g, c = m.gram / np.outer(scale, scale), m.cross / scale
     shrink = np.full(len(c), penalty)
     shrink[list(free)] = 0.0
@@ -132,7 +130,9 @@ def exact_stack(m: Moments) -> np.ndarray:
 
 def best_subset(m: Moments, largest: int) -> tuple[list[str], np.ndarray, float]:
     """The subset of at most ``largest`` terms with the least BIC; ties go to the smaller one."""
-    best = ([], np.zeros(len(m.names)), m.n * math.log(max(m.target / m.n, 1e-300)))
+    best = ([], np.zeros(len(m.names)), m.n * math.log(max(m.target / max(m.n, 1), 1e-300)))
+    if not m.n:
+        return best
     for size in range(1, largest + 1):
         for s in itertools.combinations(range(len(m.names)), size):
             c = np.zeros(len(m.names))

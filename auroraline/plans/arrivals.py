@@ -51,7 +51,7 @@ def exogenous_error(spark, sf_dir):
     groups = {c: [f"{c}_{k}" for k in (1, 2, 3)] for c in ("error", "drive", "index")}
     lagged = rows.select(F.col("error"), *[F.lag(c, k).over(o).alias(f"{c}_{k}") for c in groups for k in (1, 2, 3)])
     m = L.moments(lagged, [("one", F.lit(1.0)), *[(n, F.col(n)) for names in groups.values() for n in names]], F.col("error"))[()]
-    scale, full = np.sqrt(np.diag(m.gram) / m.n), L.ridge(m, 5.0)
+    scale, full = np.sqrt(np.diag(m.gram) / max(m.n, 1)), L.ridge(m, 5.0)
     at = {c: [m.names.index(n) for n in names] for c, names in groups.items()}
     strength = {c: float(np.linalg.norm((full * scale)[i])) for c, i in at.items()}
     kept = [c for c in groups if strength[c] >= 0.1 * max(strength.values())]

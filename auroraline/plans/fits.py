@@ -43,13 +43,13 @@ def storm_threshold(spark, sf_dir):
     """Thresholds fitted on the first 80 % of weeks and scored on the rest; the largest within one standard error of the best."""
     rows = _discovery(spark, sf_dir).withColumn("week", F.floor(F.col("h") / 72))
     last = rows.agg(F.max("week")).first()[0]
-    cut = int(0.8 * (last + 1))
+    cut = int(0.8 * ((-1 if last is None else last) + 1))
     m = L.moments(rows.where(F.col("week") < cut), P.library(), F.col("rate"))[()]
     held = L.moments(rows.where(F.col("week") >= cut), P.library(), F.col("rate"), ["series", "week"])
     out = []
     for t in np.geomspace(1, 500, 30):
         c = L.stlsq(m, t)
-        e = np.array([x.error(c) for x in held.values()])
+        e = np.array([x.error(c) for x in held.values()] or [0.0])
         out.append((float(t), int((c != 0).sum()), float(e.mean()), float(e.std(ddof=1) / np.sqrt(len(e))) if len(e) > 1 else 0.0))
     best = min(out, key=lambda r: (r[2], r[1], -r[0]))
     chosen = max((r for r in out if r[2] <= best[2] + best[3]), key=lambda r: r[0])
@@ -161,12 +161,12 @@ def sparse_residual(spark, sf_dir):
     """The strongest terms of a full ridge fit, fitted again on their own; nothing is kept unless the error falls."""
     rows = log(spark, sf_dir).where("obs is not null")
     m = L.moments(rows, _log_terms(), F.col("obs") - F.col("burton"))[()]
-    scale = np.sqrt(np.diag(m.gram) / m.n)
+    scale = np.sqrt(np.diag(m.gram) / max(m.n, 1))
     full = L.ridge(m, 10.0)
     top = sorted(np.lexsort((np.arange(len(full)), -np.abs(full * scale)))[:3])
     coef = np.zeros(len(full))
     coef[top] = L.solve(m.gram[np.ix_(top, top)], m.cross[top])
-    gain = np.sqrt(m.target / m.n) - m.error(coef)
+    gain = np.sqrt(m.target / m.n) - m.error(coef) if m.n else 0.0
     keep = gain > 0
     return _table(spark, [(n, bool(keep and i in top), float(c if keep else 0.0), float(gain)) for i, (n, c) in enumerate(zip(m.names, coef, strict=True))], "term string, kept boolean, coefficient double, gain double")
 
@@ -177,7 +177,7 @@ def history_fit(spark, sf_dir):
     rows = _discovery(spark, sf_dir).withColumn("vb", 1e-3 * F.col("v") * F.col("bs")).withColumn("memory", F.avg("vb").over(o().rowsBetween(-6, -1)))
     m = L.moments(rows, [("state", F.col("dst_star")), ("drive", F.col("vb")), ("memory", F.col("memory"))], F.col("rate"))[()]
     low, high = np.array([-1.0, -20.0, -20.0]), np.array([0.0, 0.0, 20.0])
-    w, step = np.clip(L.solve(m.gram, m.cross), low, high), 1 / np.linalg.eigvalsh(m.gram)[-1]
+    w, step = np.clip(L.solve(m.gram, m.cross), low, high), 1 / max(np.linalg.eigvalsh(m.gram)[-1], 1e-12)
     for _ in range(20000):
         w = np.clip(w - step * (m.gram @ w - m.cross), low, high)
     return _table(spark, zip(m.names, w, strict=True), "term string, coefficient double")
