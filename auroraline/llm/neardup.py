@@ -170,7 +170,9 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     paired = unsettled.select("node", "component", "key", F.explode(F.array(*ahead)).alias("band_2")).join(other, ["node", "band_2"])
     paired = common.cut(paired.select(F.xxhash64("key", "key_2").alias("key"), "node", "component"), "paired")
     ends = paired.groupBy("key").agg(F.min(F.struct("node", "component")).alias("lo"), F.max(F.struct("node", "component")).alias("hi"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    stars = paired.join(ends, "key").select("node", "component", F.explode(F.array("lo", "hi")).alias("c")).where("component <> c.component")
+    # a centre of the own component is no candidate, and a pair of bands with one centre gives it once
+    apart = lambda c: c["component"] != F.col("component")
+    stars = paired.join(ends, "key").select("node", F.explode(F.filter(F.array_distinct(F.array("lo", "hi")), apart)).alias("c"))
     fresh = stars.select(*_pair("node", "c.node")).distinct().join(tested, ["a", "b"], "left_anti")
     more = _confirm(common.cut(fresh, "stars"), docs, classes, width, percent)
     return components(links.unionByName(more)) if more.limit(1).count() else found
