@@ -237,7 +237,8 @@ def _hot_windows(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """did, th and ``starts``: first words of the windows of ``span`` words that start in a document with a smaller doc_id too."""
     segments = common.cut(_segments(docs, span), "segments")
-    shared = segments.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("m")
+    # from files again, so that a minimiser with very many segments is split between tasks
+    shared = common.cut(segments.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("m"), "shared")
     candidates = common.cut(segments.join(shared, "m"), "candidates")
     firsts = candidates.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "at", "windows")).alias("f")).select("m", "seg", "f.*")
     firsts = common.cut(firsts, "firsts")
