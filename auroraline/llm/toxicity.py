@@ -104,9 +104,9 @@ def _fit(rows: np.ndarray, features: np.ndarray, extra: np.ndarray, target: np.n
 def fit(ids: list[int], texts: list[str | None], targets: dict[str, np.ndarray]) -> Chain:
     """The chain from sample documents; a category that has no example of its own is never predicted."""
     data, offsets = common.utf8(pa.array(texts, pa.large_string()))
-    pairs = [(i + r, h) for i, j in common.chunks(offsets) for r, h in [feature_hashes(common.Words(data, offsets[i : j + 1], SEPARATORS_RAW))]]
     seen, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for rows, hashes in pairs:
+    for i, j in common.chunks(offsets):  # one chunk's features at a time
+        rows, hashes = feature_hashes(common.Words(data, offsets[i : j + 1], SEPARATORS_RAW))
         order = np.lexsort((rows, hashes))
         rows, hashes = rows[order], hashes[order]
         new = np.ones(len(rows), bool)
