@@ -6,14 +6,13 @@
    the probability of the sets' similarity.  Documents with the same set are one *class* from there on.
 2. ROWS neighbouring bins make a band; classes with an equal band share a bucket.  A pair of
    similarity 0.8 misses all 40 bands with probability 5e-6, one of 0.85 with 6e-9.
-3. A bucket's candidates are stars: its least and its greatest class to all others.  Each edge is
-   confirmed on the full sets.  Confirmed links are joined to components.  A bucket is *settled* if
-   it is of one component or has three classes at most, whose pairs have all been confirmed or not.
-4. A link can only be missing between two classes all of whose common buckets are unsettled: crowds
-   that share bins without being alike.  There, neighbouring bands are paired: a pair of bands is a
-   bucket of 2 * ROWS bins, which a crowd seldom shares and two alike classes share in about 11
-   (similarity 0.8) to 23 (0.85) of PAIRINGS * BANDS cases.  Stars are drawn in these too, between
-   components only.  So the number of edges stays in proportion to the rows of the buckets.
+3. A bucket's first candidates are stars: its least and its greatest class to all others.  Each edge
+   is confirmed on the full sets.  Confirmed links are joined to components.
+4. A bucket is *settled* if it is of one component, or if all of its pairs across components have been
+   confirmed or not.  The others get more centres, round by round: the class with the most links that
+   has not been one, and a share of the rest by a hash of bucket and class, which grows by GROWTH until
+   all are centres.  So every pair that shares a band is decided; a group around one original needs a
+   round or two, a crowd that shares bands without being alike needs all its pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ from . import common
 from .components import components
 
 BANDS, ROWS = 40, 6
-#: A band is paired with so many that follow it.
-PAIRINGS = 4
+#: A round has so many times the centres of the one before.
+GROWTH = 8
 BINS = BANDS * ROWS
 WIDTH, PERCENT = 5, 80
 _NO_ID = 2**63 - 1
@@ -162,20 +161,31 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     tested = common.cut(buckets.select(stars.alias("e")).select("e.*").where("a < b").distinct(), "stars")
     links = _confirm(tested, docs, classes, width, percent)
     found = components(links)
-    crowds = buckets.where("size > 3").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = crowds.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    unsettled = common.cut(crowds.join(mixed, "key"), "unsettled")
-    ahead = [F.pmod(F.col("band") + d, F.lit(BANDS)) for d in range(1, PAIRINGS + 1)]
-    other = unsettled.select("node", F.col("band").alias("band_2"), F.col("key").alias("key_2"))
-    paired = unsettled.select("node", "component", "key", F.explode(F.array(*ahead)).alias("band_2")).join(other, ["node", "band_2"])
-    paired = common.cut(paired.select(F.xxhash64("key", "key_2").alias("key"), "node", "component"), "paired")
-    ends = paired.groupBy("key").agg(F.min(F.struct("node", "component")).alias("lo"), F.max(F.struct("node", "component")).alias("hi"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    # a centre of the own component is no candidate, and a pair of bands with one centre gives it once
-    apart = lambda c: c["component"] != F.col("component")
-    stars = paired.join(ends, "key").select("node", F.explode(F.filter(F.array_distinct(F.array("lo", "hi")), apart)).alias("c"))
-    fresh = stars.select(*_pair("node", "c.node")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = _confirm(common.cut(fresh, "stars"), docs, classes, width, percent)
-    return components(links.unionByName(more)) if more.limit(1).count() else found
+    crowds = common.cut(buckets.where("size > 3").select("key", "node", F.expr("node = lo or node = hi").alias("was")), "crowds")
+    wanted = 1
+    while True:
+        both = links.select(F.explode(F.array("a", "b")).alias("node"))
+        known = found.join(both.groupBy("node").agg(F.count("*").alias("degree")), "node")
+        named = crowds.join(known, "node", "left").select("key", "node", "was", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        named = common.cut(named, "named")
+        most = F.max(F.when(~F.col("was"), F.struct("degree", "node")))
+        mixed = named.groupBy("key").agg(F.count_if(~F.col("was")).alias("left"), most["node"].alias("most"), F.min("component").alias("x"), F.max("component").alias("y"))
+        # a pair without a centre takes two classes that have not been one
+        open_ = common.cut(named.join(mixed.where("x <> y and left > 1").select("key", "left", "most"), "key"), "unsettled")
+        if not open_.limit(1).count():
+            return found
+        drawn = F.pmod(F.xxhash64("key", "node"), F.col("left")) < F.lit(wanted - 1)
+        marked = common.cut(open_.select("key", "node", "was", "component", (~F.col("was") & ((F.col("node") == F.col("most")) | drawn)).alias("centre")), "marked")
+        centres = marked.where("centre").select("key", F.col("node").alias("c"), F.col("component").alias("of"))
+        fresh = marked.join(centres, "key").where("component <> of").select(*_pair("node", "c")).distinct()
+        fresh = common.cut(fresh.join(tested, ["a", "b"], "left_anti"), "stars")
+        more = _confirm(fresh, docs, classes, width, percent)
+        if more.limit(1).count():
+            links = common.cut(links.unionByName(more), "links")
+            found = components(links)
+        tested = tested.unionByName(fresh)
+        crowds = marked.select("key", "node", (F.col("was") | F.col("centre")).alias("was"))
+        wanted *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

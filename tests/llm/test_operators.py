@@ -136,6 +136,52 @@ def test_crowds_lose_no_link(spark):
     assert found == {d: d - d % 2 for d, _ in rows}
 
 
+def brute_components(rows, width, percent):
+    own = [sets(t, width) for _, t in rows]
+    component, alike = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(own[i] & own[j]) >= percent * len(own[i] | own[j]):
+                alike += 1
+                a, b = component[i], component[j]
+                if a != b:
+                    component = [min(a, b) if c == max(a, b) else c for c in component]
+    return {d: rows[c][0] for (d, _), c in zip(rows, component, strict=True)}, alike
+
+
+def test_copies_of_one_original_are_one_group(spark):
+    """Each copy is like the original, which has an id in the middle, and no two copies need be alike."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(1001):
+        words = base.copy()
+        if i != 500:
+            for k in rng.sample(range(2, 198), 5):
+                words[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(words)))
+    want, alike = brute_components(rows, 3, 85)
+    assert alike < 100_000 and sum(c == 0 for c in want.values()) > 900
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert found == want
+
+
+def test_crowd_just_below_the_limit(spark):
+    """All pairs are at 0.80 to 0.84 but for some in the middle, which are alike."""
+    rng = random.Random(9)
+    common_part = [f"c{i}" for i in range(200)]
+    tails = [[f"t{i}_{k}" for k in range(22)] for i in range(150)]
+    for i in range(40, 110, 2):
+        tails[i + 1] = tails[i].copy()
+        tails[i + 1][rng.randrange(22)] = f"o{i}"
+    rows = [(i, " ".join(common_part + t)) for i, t in enumerate(tails)]
+    rng.shuffle(rows)
+    want, alike = brute_components(sorted(rows), 3, 85)
+    assert alike == 35 and 0.8 < len(sets(rows[0][1], 3) & sets(rows[1][1], 3)) / len(sets(rows[0][1], 3) | sets(rows[1][1], 3)) < 0.85
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert found == want
+
+
 def test_signatures_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
