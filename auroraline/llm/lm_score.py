@@ -1,8 +1,11 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every token is predicted from SIDE tokens to its left and SIDE to its right; the summed conditional
-log-probabilities score a document.  The vocabulary is the SIZE - 1 most frequent words of the whole
-corpus and one symbol for the rest, a fixed size of the model.  The network has word vectors, one
+log-probabilities score a document.  The vocabulary is all distinct words of the corpus, whose counts
+stay in a distributed table.  The network knows the SIZE - 1 most frequent ones and one symbol for the
+rest; a word of the rest is charged the symbol and its share of the rest's occurrences in all other
+documents, PRIOR added to each word's, so the chances of all words sum to one.  As a neighbour, it is
+the symbol.  The network has word vectors, one
 tanh layer and two softmax layers: one for the class of the token (its frequency rank by CLASS
 words) and one for the token within its class.
 
@@ -28,10 +31,11 @@ SIDE, DIM, HIDDEN = 2, 16, 32
 CLASSES, CLASS = 64, 64
 SIZE = CLASSES * CLASS
 BATCH, RATE, SEED = 8192, 0.1, 11
+PRIOR = 0.5
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, the most frequent first."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Hashes of the most frequent words of all documents, the most frequent first, and (word, n) of all words."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,9 +44,9 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
                 words, counts = np.unique(common.Words(data, offsets[i : j + 1], SEPARATORS_RAW).hashes(common.LOWER), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(stage, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = common.cut(docs.select("text").mapInArrow(stage, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counted.orderBy(F.desc("n"), "word").limit(SIZE - 1).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64), counted
 
 
 class Network:
@@ -180,16 +184,17 @@ def _sorted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[order], order.astype(np.int64)
 
 
-def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, words: np.ndarray, counted: DataFrame, flat: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood and its mean per token; a text without words has 0 tokens, 0 and null."""
-    shared = docs.sparkSession.sparkContext.broadcast((flat.astype(np.float32), *_sorted(words)))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((flat.astype(np.float32), *_sorted(words)))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known, rank = shared.value
         net = Network(flat)
         for batch in batches:
-            data, offsets = common.utf8(batch.column(1))
-            total, count = [], []
+            data, offsets = common.utf8(batch.column(2))
+            total, count, rest, n_rest = [], [], [], []
             for i, j in common.chunks(offsets):
                 found = common.Words(data, offsets[i : j + 1], SEPARATORS_RAW)
                 near, token = _windows(found, known, rank)
@@ -198,13 +203,25 @@ def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray) -> DataFrame:
                 np.cumsum(np.concatenate(parts) if parts else [], out=sums[1:])
                 total.append(sums[found.first[1:]] - sums[found.first[:-1]])
                 count.append(found.counts)
-            total, count = (np.concatenate(x) if x else np.zeros(0) for x in (total, count))
-            mean = pa.array(total / np.maximum(count, 1), pa.float64(), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64)), mean], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
-
-    return docs.select("doc_id", "text").mapInArrow(stage, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+                unknown = token == SIZE - 1
+                rest.append(found.hashes(common.LOWER)[unknown])
+                n_rest.append(np.bincount(found.rows()[unknown], minlength=j - i))
+            total, count, n_rest = (np.concatenate(x) if x else np.zeros(0) for x in (total, count, n_rest))
+            rest = common.list_array(np.concatenate(rest).view(np.int64) if rest else np.zeros(0, np.int64), n_rest, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64)), rest], ["row", "doc_id", "n_tokens", "known", "rest"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scored = common.cut(numbered.mapInArrow(stage, "row long, doc_id long, n_tokens long, known double, rest array<long>"), "scored")
+    # no word of the rest is more frequent than any that the network knows, so none is a hot key
+    others = counted.join(F.broadcast(spark.createDataFrame([(w,) for w in words.view(np.int64).tolist()], "word long")), "word", "left_anti")
+    size = others.agg(F.sum("n"), F.count("*")).first()
+    in_doc = scored.select("row", F.size("rest").alias("own"), F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"), F.first("own").alias("own"))
+    share = (F.col("n") - F.col("k") + PRIOR) / (F.lit(size[0] or 0) - F.col("own") + PRIOR * size[1])
+    charged = in_doc.join(others, "word").groupBy("row").agg(F.sum(F.col("k") * F.log(share)).alias("share"))
+    whole = scored.drop("rest").join(charged, "row", "left").withColumn("pseudo_log_likelihood", F.col("known") + F.coalesce("share", F.lit(0.0)))
+    return whole.select("doc_id", "n_tokens", "pseudo_log_likelihood", F.expr("if(n_tokens = 0, null, pseudo_log_likelihood / n_tokens)").alias("mean_log_probability"))
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words))
+    words, counted = vocabulary(docs)
+    return score(docs, words, counted, train(docs, words))

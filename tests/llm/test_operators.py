@@ -425,6 +425,15 @@ def test_lm_prefers_its_language(spark, empty):
     assert lm_score.fit_and_score(empty).count() == 0
 
 
+def test_lm_charges_words_beyond_the_most_frequent(spark):
+    """Clean prose has words beyond the network's, too; those that no other text has are less likely."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(20000 * rng.random() ** 3)}" for _ in range(100))) for i in range(400)]
+    rows.append((9000, " ".join(f"x{k}" for k in range(100))))
+    found = {r["doc_id"]: r["mean_log_probability"] for r in lm_score.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == 401 and found[9000] < min(v for d, v in found.items() if d < 9000)
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(2)
     near, token = rng.integers(0, lm_score.SIZE, (64, 2 * lm_score.SIDE)), rng.integers(0, lm_score.SIZE, 64)
