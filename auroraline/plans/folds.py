@@ -89,9 +89,18 @@ k AS (SELECT *, row_number() OVER (PARTITION BY series, h, step ORDER BY s) AS i
 res AS (SELECT series, h, step, max(CASE WHEN draw = 10 THEN s END) AS point, max(CASE WHEN i = 10 THEN s END) AS median, max(CASE WHEN i = 1 THEN s END) AS p05, max(CASE WHEN i = 19 THEN s END) AS p95 FROM k GROUP BY ALL)""",
 )
 def ensemble_rollout(spark, sf_dir):
+    return _ensemble(clean(spark, sf_dir).where("h % 6 = 0"))
+
+
+@query("ensemble_rollout_all_hours", "series h step", "point median p05 p95")
+def ensemble_rollout_all_hours(spark, sf_dir):
+    return _ensemble(clean(spark, sf_dir))
+
+
+def _ensemble(rows):
     """Six hours ahead for each draw of the coefficients, and the ranks of the draws at each step."""
     draws = [(5.4e-3 * (0.8 + 0.02 * d), 7.7 * (1.2 - 0.02 * d)) for d in range(_DRAWS)]
-    origins = clean(spark, sf_dir).where("quality = 1 and h % 6 = 0").select("series", "h", "v", "bs", "dst_star")
+    origins = rows.where("quality = 1").select("series", "h", "v", "bs", "dst_star")
     members = origins.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("draw"), F.lit(a).alias("alpha"), F.lit(t).alias("tau")) for i, (a, t) in enumerate(draws)])))
     path = folds.rollout(F.col("dst_star"), F.col("v"), F.col("bs"), F.lit(6), lambda v, bs, s: -F.col("d.alpha") * v * bs - s / F.col("d.tau"))
     steps = members.select("series", "h", F.col("d.draw").alias("draw"), F.posexplode(path).alias("k", "s"))

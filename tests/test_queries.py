@@ -41,3 +41,14 @@ def test_runs(spark, name):
     columns, found = rows_of(spark, name)
     assert columns and len(set(columns)) == len(columns)
     assert found or name == "storm_catalog"  # the smallest table may hold no storm
+
+
+@pytest.mark.parametrize(("name", "steps"), [("ensemble_rollout", 6), ("affine_trajectory", 4), ("history_rollout", 7)])
+def test_every_issue_hour(spark, name, steps):
+    """All valid hours are issue hours, and those that the SQL has too give its rows."""
+    from auroraline.plans.base import clean
+
+    valid = {(r["series"], r["h"]) for r in clean(spark, SF).where("quality = 1").collect()}
+    some, every = (set(rows_of(spark, n)[1]) for n in (name, f"{name}_all_hours"))
+    assert {r[:2] for r in every} == valid and len(every) == steps * len(valid)
+    assert some < every
