@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as P
 from ..operators import order_statistics as Q
-from ..operators.inference import block_bootstrap, paired_bootstrap
+from ..operators.inference import block_bootstrap, interval, paired_bootstrap
 from .base import CLEAN, FRAME, LOG, SECONDS, clean, frame, log, query, since, table
 from .windows import ANALOG_SQL, analog_features
 
@@ -234,9 +234,18 @@ res AS (SELECT draw, count(*) AS n_storms, median(d) AS median_difference FROM p
 )
 def storm_bootstrap(spark, sf_dir):
     """Medians of paired differences over whole storms drawn again; draws come from a formula, so they can be repeated."""
+    return _storm_draws(spark, sf_dir, 200)
+
+
+@query("storm_bootstrap_interval", "draws", "median low high p")
+def storm_bootstrap_interval(spark, sf_dir):
+    return interval(_storm_draws(spark, sf_dir, 10_000), "median_difference")
+
+
+def _storm_draws(spark, sf_dir, draws):
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
     storms = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("storm")).agg((rms("l_discount") - rms("l_tax")).alias("d"))
-    return paired_bootstrap(storms, "storm", "d", 200)
+    return paired_bootstrap(storms, "storm", "d", draws)
 
 
 @query(
@@ -247,7 +256,16 @@ res AS (SELECT draw, sqrt(sum(n.p) / sum(m)) - sqrt(sum(a) / sum(m)) AS gain FRO
 )
 def block_gain(spark, sf_dir):
     """RMSE gain over persistence in week-long blocks drawn again."""
+    return _block_draws(spark, sf_dir, 200)
+
+
+@query("block_bootstrap_interval", "draws", "median low high p")
+def block_bootstrap_interval(spark, sf_dir):
+    return interval(_block_draws(spark, sf_dir, 10_000), "gain")
+
+
+def _block_draws(spark, sf_dir, draws):
     sse = lambda c: F.sum(F.pow(F.col("obs") - F.col(c), F.lit(2)))
     rows = log(spark, sf_dir).where("obs is not null and step = 1")
     blocks = rows.groupBy(F.floor(F.col("issue_h") / 168).alias("block")).agg(sse("burton").alias("a"), sse("persistence").alias("p"), F.count("*").alias("m"))
-    return block_bootstrap(blocks, "block", "a", "p", "m", 200)
+    return block_bootstrap(blocks, "block", "a", "p", "m", draws)

@@ -66,7 +66,7 @@ def collinearity(spark, sf_dir):
 @query("ensemble_discovery", "term", "inclusion median_coefficient")
 def ensemble_discovery(spark, sf_dir):
     """Draws by a hash of draw and row, so they can be repeated; all draws' moments come from one aggregation."""
-    draws = 40
+    draws = 500
     rows = _discovery(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).where(F.pmod(F.xxhash64("draw", "series", "h"), F.lit(10)) < 8)
     fits = np.array([L.stlsq(m, 20.0) for m in L.moments(rows, P.library(), F.col("rate"), ["draw"]).values()])
     names = [n for n, _ in P.library()]

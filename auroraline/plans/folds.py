@@ -94,18 +94,19 @@ def ensemble_rollout(spark, sf_dir):
 
 @query("ensemble_rollout_all_hours", "series h step", "point median p05 p95")
 def ensemble_rollout_all_hours(spark, sf_dir):
-    return _ensemble(clean(spark, sf_dir))
+    """500 members, over the range that the SQL's 20 have."""
+    return _ensemble(clean(spark, sf_dir), 500)
 
 
-def _ensemble(rows):
+def _ensemble(rows, n=_DRAWS):
     """Six hours ahead for each draw of the coefficients, and the ranks of the draws at each step."""
-    draws = [(5.4e-3 * (0.8 + 0.02 * d), 7.7 * (1.2 - 0.02 * d)) for d in range(_DRAWS)]
+    place = F.col("draw") * (_DRAWS / n)
     origins = rows.where("quality = 1").select("series", "h", "v", "bs", "dst_star")
-    members = origins.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("draw"), F.lit(a).alias("alpha"), F.lit(t).alias("tau")) for i, (a, t) in enumerate(draws)])))
+    members = origins.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("d", F.struct((5.4e-3 * (0.8 + 0.02 * place)).alias("alpha"), (7.7 * (1.2 - 0.02 * place)).alias("tau")))
     path = folds.rollout(F.col("dst_star"), F.col("v"), F.col("bs"), F.lit(6), lambda v, bs, s: -F.col("d.alpha") * v * bs - s / F.col("d.tau"))
-    steps = members.select("series", "h", F.col("d.draw").alias("draw"), F.posexplode(path).alias("k", "s"))
-    grouped = steps.groupBy("series", "h", (F.col("k") + 1).alias("step")).agg(F.max(F.when(F.col("draw") == 10, F.col("s"))).alias("point"), F.sort_array(F.collect_list("s")).alias("all"))
-    at = lambda q: F.get("all", F.lit(int(np.ceil(q * _DRAWS)) - 1))
+    steps = members.select("series", "h", "draw", F.posexplode(path).alias("k", "s"))
+    grouped = steps.groupBy("series", "h", (F.col("k") + 1).alias("step")).agg(F.max(F.when(F.col("draw") == n // 2, F.col("s"))).alias("point"), F.sort_array(F.collect_list("s")).alias("all"))
+    at = lambda q: F.get("all", F.lit(int(np.ceil(q * n)) - 1))
     return grouped.select("series", "h", "step", "point", at(0.5).alias("median"), at(0.05).alias("p05"), at(0.95).alias("p95"))
 
 

@@ -52,3 +52,16 @@ def test_every_issue_hour(spark, name, steps):
     some, every = (set(rows_of(spark, n)[1]) for n in (name, f"{name}_all_hours"))
     assert {r[:2] for r in every} == valid and len(every) == steps * len(valid)
     assert some < every
+
+
+def test_draws_are_those_of_the_reference(spark, monkeypatch):
+    from auroraline.plans import fits
+
+    for name in ("storm_bootstrap_interval", "block_bootstrap_interval"):
+        columns, [row] = rows_of(spark, name)
+        found = dict(zip(columns, row, strict=True))
+        assert found["draws"] == 10_000 and found["low"] <= found["median"] <= found["high"] and 1 / 10_001 <= found["p"] + 1e-6 <= 1 + 2e-6
+    calls, fit = [], fits.L.stlsq
+    monkeypatch.setattr(fits.L, "stlsq", lambda *a: calls.append(a) or fit(*a))
+    registry.queries()["ensemble_discovery"](spark, "/root/testdata/sf0.01")  # each draw has rows there
+    assert len(calls) == 500
