@@ -35,13 +35,16 @@ def nearest_neighbours(archive: DataFrame, queries: DataFrame, id_: str, vector:
                 a = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 squared = np.maximum((q * q).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2 * q @ a.T, 0)
                 squared[np.abs(ids[:, None] - own[None, :]) < exclusion] = np.inf
-                # a little more than k, then exact distances of those
-                m = min(len(own), k + 8)
-                best = np.argpartition(squared, m - 1, axis=1)[:, :m]
-                exact = np.sqrt(((q[:, None, :] - a[best]) ** 2).sum(2))
-                exact[~np.isfinite(np.take_along_axis(squared, best, 1))] = np.inf
-                keep = np.isfinite(exact)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(own[best][keep]), pa.array(exact[keep])], ["query_id", "id", "distance"])
+                # all within a rounding margin of the k-th, then exact distances of those and the k best by distance and id
+                m = min(len(own), k)
+                border = np.partition(squared, m - 1, axis=1)[:, m - 1]
+                margin = 1e-9 * (1 + border + (q * q).sum(1) + (a * a).sum(1).max())
+                at, row = np.nonzero((squared <= (border + margin)[:, None]) & np.isfinite(squared))
+                exact = np.sqrt(((q[at] - a[row]) ** 2).sum(1))
+                order = np.lexsort((own[row], np.round(exact, 9), at))
+                at, row, exact = at[order], row[order], exact[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[keep]]), pa.array(own[row[keep]]), pa.array(exact[keep])], ["query_id", "id", "distance"])
 
         part = archive.select(id_, vector).mapInArrow(stage, "query_id long, id long, distance double")
         out = part if out is None else out.unionByName(part)

@@ -232,3 +232,12 @@ def test_stream_state_matches_batch(spark):
 
 def test_fits_and_stream_modules_are_loaded():
     assert fits.stack_weights and live.hourly
+
+
+def test_equal_vectors_go_to_the_smallest_ids(spark):
+    from auroraline.operators.analog import nearest_neighbours
+
+    rows = [(i, [1.0, 2.0]) for i in range(300, 0, -1)] + [(1000, [1.0, 2.5])]
+    archive = spark.createDataFrame(rows, "id long, x array<double>").coalesce(1)
+    found = nearest_neighbours(archive, archive.where("id = 1000"), "id", "x", 5, 1).orderBy("rank").collect()
+    assert [(r["id"], r["distance"]) for r in found] == [(i, 0.5) for i in range(1, 6)]
