@@ -47,7 +47,7 @@ def storm_threshold(spark, sf_dir):
     m = L.moments(rows.where(F.col("week") < cut), P.library(), F.col("rate"))[()]
     held = L.moments(rows.where(F.col("week") >= cut), P.library(), F.col("rate"), ["series", "week"])
     out = []
-    for t in np.geomspace(1, 500, 30):
+    for t in np.geomspace(1, 500, 60):
         c = L.stlsq(m, t)
         e = np.array([x.error(c) for x in held.values()] or [0.0])
         out.append((float(t), int((c != 0).sum()), float(e.mean()), float(e.std(ddof=1) / np.sqrt(len(e))) if len(e) > 1 else 0.0))
@@ -144,7 +144,7 @@ def driver_autoregression(spark, sf_dir):
 def error_subset(spark, sf_dir):
     """At most three lags of the matured one-hour error, by BIC; refused where the recursion would not decay."""
     errors = log(spark, sf_dir).where("step = 1").select("series", F.col("target_h").alias("h"), (F.col("obs") - F.col("burton")).alias("e"))
-    lags = (1, 2, 3, 4, 6, 9)
+    lags = (1, 2, 3, 4, 6, 9, 12, 18, 24)
     rows = errors.select("e", *[F.lag("e", k).over(o()).alias(f"e_{k}") for k in lags])
     m = L.moments(rows, [(f"e_{k}", F.col(f"e_{k}")) for k in lags], F.col("e"))[()]
     names, coef, _ = L.best_subset(m, 3)
@@ -217,11 +217,23 @@ def least_squares_rate(spark, sf_dir):
     f"""{LOG}, f AS (SELECT unnest([3, 6, 9]) AS fold), res AS (SELECT fold, CASE WHEN issue_h >= fold * 72 AND issue_h < (fold + 1) * 72 THEN 'query' ELSE 'train' END AS part, count(*) AS n_rows FROM log, f WHERE (issue_h >= fold * 72 AND issue_h < (fold + 1) * 72) OR target_h < fold * 72 - 24 GROUP BY ALL)""",
 )
 def rolling_folds(spark, sf_dir):
+    return _folds(log(spark, sf_dir), F.array(*[F.lit(k) for k in (3, 6, 9)]), 24)
+
+
+@query("rolling_folds_all", "fold part n_rows")
+def rolling_folds_all(spark, sf_dir):
+    """Every block of the log is scored, with the embargo of 168 hours."""
+    rows = log(spark, sf_dir)
+    last = rows.agg(F.floor(F.max("issue_h") / 72)).first()[0] or 0
+    return _folds(rows, F.sequence(F.lit(0), F.lit(int(last))), 168)
+
+
+def _folds(rows, folds, embargo):
     """Expanding training sets whose targets end an embargo before the fold's first hour."""
-    rows = log(spark, sf_dir).withColumn("fold", F.explode(F.array(*[F.lit(k) for k in (3, 6, 9)])))
+    rows = rows.withColumn("fold", F.explode(folds))
     start = F.col("fold") * 72
     inside = (F.col("issue_h") >= start) & (F.col("issue_h") < start + 72)
-    part = F.when(inside, "query").when(F.col("target_h") < start - 24, "train")
+    part = F.when(inside, "query").when(F.col("target_h") < start - embargo, "train")
     return rows.withColumn("part", part).where("part is not null").groupBy("fold", "part").agg(F.count("*").alias("n_rows"))
 
 

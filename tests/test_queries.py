@@ -65,3 +65,16 @@ def test_draws_are_those_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(fits.L, "stlsq", lambda *a: calls.append(a) or fit(*a))
     registry.queries()["ensemble_discovery"](spark, "/root/testdata/sf0.01")  # each draw has rows there
     assert len(calls) == 500
+
+
+def test_folds_thresholds_and_lags_are_whole(spark):
+    from auroraline.plans.base import log
+
+    rows = log(spark, SF).select("issue_h", "target_h").collect()
+    want = {}
+    for k in range(max(r["issue_h"] for r in rows) // 72 + 1):
+        want[k, "query"] = sum(k * 72 <= r["issue_h"] < k * 72 + 72 for r in rows)
+        want[k, "train"] = sum(r["target_h"] < k * 72 - 168 for r in rows)
+    assert {r[:2]: r[2] for r in rows_of(spark, "rolling_folds_all")[1]} == {k: n for k, n in want.items() if n}
+    assert len(rows_of(spark, "storm_threshold")[1]) == 60
+    assert sorted(r[0] for r in rows_of(spark, "error_subset")[1]) == [1, 2, 3, 4, 6, 9, 12, 18, 24]
