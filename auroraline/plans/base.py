@@ -64,9 +64,11 @@ SECONDS = f"CAST(floor(epoch(ts - TIMESTAMP '{START}')) AS BIGINT)"
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, h and the channels for every hour; null where a channel has no event."""
-    events = table(spark, sf_dir, "events").select((F.col("user_id") % STATIONS).alias("series"), since("HOUR").alias("h"), "event_type", "value")
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % STATIONS).alias("series"), F.floor(since("MICROSECOND") / 3_600_000_000).alias("h"), "event_type", "value")
     means = [F.round(a + b * F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 9).alias(c) for c, (kind, a, b) in CHANNELS.items()]
-    spine = spark.range(STATIONS * HOURS).select((F.col("id") / HOURS).cast("long").alias("series"), (F.col("id") % HOURS).alias("h"))
+    # the hours of the SQL at least, and all that have events
+    reach = events.agg(F.least(F.min("h"), F.lit(0).cast("long")).alias("first"), F.greatest(F.max("h"), F.lit(HOURS - 1).cast("long")).alias("last"))
+    spine = reach.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STATIONS - 1).cast("long"))).alias("series"), "first", "last").select("series", F.explode(F.sequence("first", "last")).alias("h"))
     return spine.join(events.groupBy("series", "h").agg(*means), ["series", "h"], "left")
 
 

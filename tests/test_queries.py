@@ -78,3 +78,12 @@ def test_folds_thresholds_and_lags_are_whole(spark):
     assert {r[:2]: r[2] for r in rows_of(spark, "rolling_folds_all")[1]} == {k: n for k, n in want.items() if n}
     assert len(rows_of(spark, "storm_threshold")[1]) == 60
     assert sorted(r[0] for r in rows_of(spark, "error_subset")[1]) == [1, 2, 3, 4, 6, 9, 12, 18, 24]
+
+
+def test_events_outside_the_month_have_hours(spark, tmp_path):
+    from auroraline.plans.base import frame
+
+    rows = "select 2L as user_id, timestamp'{}' as ts, 'view' as event_type, 5.0D as value"
+    spark.sql(" union all ".join(rows.format(t) for t in ("2023-12-31 22:30:00", "2024-02-02 01:30:00"))).write.parquet(f"{tmp_path}/events.parquet")
+    found = frame(spark, str(tmp_path))
+    assert [r["h"] for r in found.where("v is not null").orderBy("h").collect()] == [-2, 769] and found.count() == 2 * 772
