@@ -7,11 +7,12 @@ apart, so a word never ends inside a multi-byte character and bytes can be cut w
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once in a Python worker; a longer text is handled alone.
@@ -40,12 +41,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_cuts: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _cuts[written] = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``cut`` wrote and nothing will read again."""
+    for table_ in tables:
+        if path := _cuts.pop(table_, None):
+            context = table_.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row in one struct, where no name of an operator's own can clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def doc_rank(column: str = "doc_id"):

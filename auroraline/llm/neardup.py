@@ -6,13 +6,15 @@
    the probability of the sets' similarity.  Documents with the same set are one *class* from there on.
 2. ROWS neighbouring bins make a band; classes with an equal band share a bucket.  A pair of
    similarity 0.8 misses all 40 bands with probability 5e-6, one of 0.85 with 6e-9.
-3. A bucket's first candidates are stars: its least and its greatest class to all others.  Each edge
-   is confirmed on the full sets.  Confirmed links are joined to components.
-4. A bucket is *settled* if it is of one component, or if all of its pairs across components have been
-   confirmed or not.  The others get more centres, round by round: the class with the most links that
-   has not been one, and a share of the rest by a hash of bucket and class, which grows by GROWTH until
-   all are centres.  So every pair that shares a band is decided; a group around one original needs a
-   round or two, a crowd that shares bands without being alike needs all its pairs.
+3. A bucket's candidates are stars: its least and its greatest class to all others and, while it holds
+   several components, the class with the most links to all others.  Each edge is confirmed on the full
+   sets, and confirmed links are joined to components.
+4. The classes of buckets that still hold several components are *unsettled*.  All links between their
+   components are found by an exact prefix join: shingles are put in one order, first those that a single
+   component has and then by their frequency; two sets can only be alike if they share a shingle in
+   their first few and enough shingles follow it in both.  Classes that merely share bands have
+   their own shingles up front, so a crowd just below the limit makes no candidate, and a link
+   of two classes that share a band is never lost.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from . import common
 from .components import components
 
 BANDS, ROWS = 40, 6
-#: A round has so many times the centres of the one before.
-GROWTH = 8
+#: Rounds of stars around the class with the most links, before the exact join.
+STARS = 2
 BINS = BANDS * ROWS
 WIDTH, PERCENT = 5, 80
 _NO_ID = 2**63 - 1
@@ -152,40 +154,96 @@ def _pair(x: Column | str, y: Column | str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _component(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``classes`` with their component; one without links is its own."""
+    return classes.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """node, component, n and the shingles of the classes in ``nodes`` (node, component), from their full texts."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(2))
+            for i, j in common.chunks(offsets):
+                sets, counts = shingle_sets(data, offsets[i : j + 1], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(counts, pa.int64()), common.list_array(sets.view(np.int64), counts, pa.int64())], ["node", "component", "n", "shingles"])
+
+    wanted = nodes.join(classes.select("node", "did", "th").hint("merge"), "node")
+    keyed = docs.select(common.doc_rank().alias("did"), F.xxhash64("text").alias("th"), "text")
+    # rows with one id and text stand for one class and count once
+    texts = keyed.join(wanted.hint("merge"), ["did", "th"]).select("node", "component", "text").dropDuplicates(["node"])
+    return texts.mapInArrow(stage, "node long, component long, n long, shingles array<long>")
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that can be alike, so all that are, and few others.
+
+    With sizes x <= y, alike sets share o = ceil(percent * (x + y) / (100 + percent)) shingles or more.  So they
+    share one that is among the first x - ceil(2 * percent * x / (100 + percent)) + 1 of the smaller set and
+    the first y - ceil(percent * y / 100) + 1 of the larger one, and o - 1 shingles stand behind it in both.
+    """
+    rows = sets.select("node", "component", F.explode("shingles").alias("s"))
+    spread = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # a shingle of one component alone cannot match: 0, and so the first in the order
+    weight = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.col("f"))
+    ordered = rows.select("s", "node").join(spread.select("s", weight.alias("f")).hint("merge"), "s")
+    n = F.col("n")
+    probe = (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int")
+    index = (n - F.ceil(n * (2 * percent) / F.lit(100 + percent)) + 1).cast("int")
+    lists = ordered.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("all"))
+    kept = lists.join(sets.select("node", "component", "n").hint("merge"), "node").select("node", "component", "n", index.alias("index"), F.slice("all", F.lit(1), probe).alias("first"))
+    prefixes = common.cut(kept.select("node", "component", "n", "index", F.posexplode("first").alias("at", "x")).where("x.f > 0").select("node", "component", "n", F.expr("at < index").alias("short"), "at", F.col("x.s").alias("s")), "prefixes")
+    small = prefixes.where("short").select("s", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    large = prefixes.select("s", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    shared = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
+    can = (
+        (F.col("of_a") != F.col("of_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+        & (100 * F.col("n_a") >= percent * F.col("n_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= shared)
+    )
+    pairs = small.hint("merge").join(large, (small["s"] == large["s"]) & can).select(*_pair("a", "b")).distinct()
+    found = common.cut(pairs, "pairs")
+    common.release(prefixes)
+    return found
+
+
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link."""
     dealt = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("size > 1")
-    buckets = common.cut(dealt.join(shared, "key"), "buckets")
+    buckets = common.cut(dealt.select("node", "key").join(shared.hint("merge"), "key"), "buckets")
     stars = F.explode(F.array(F.struct(*_pair("lo", "node")), F.struct(*_pair("hi", "node"))))
     tested = common.cut(buckets.select(stars.alias("e")).select("e.*").where("a < b").distinct(), "stars")
     links = _confirm(tested, docs, classes, width, percent)
     found = components(links)
-    crowds = common.cut(buckets.where("size > 3").select("key", "node", F.expr("node = lo or node = hi").alias("was")), "crowds")
-    wanted = 1
-    while True:
-        both = links.select(F.explode(F.array("a", "b")).alias("node"))
-        known = found.join(both.groupBy("node").agg(F.count("*").alias("degree")), "node")
-        named = crowds.join(known, "node", "left").select("key", "node", "was", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    # the least and the greatest of three classes have been tested with all
+    crowds = common.cut(buckets.where("size > 3").select("key", "node"), "crowds")
+    common.release(buckets)
+    for round_ in range(STARS + 1):
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        known = found.join(degrees, "node").select("node", "component", "degree")
+        named = _component(crowds, known).select("key", "node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
         named = common.cut(named, "named")
-        most = F.max(F.when(~F.col("was"), F.struct("degree", "node")))
-        mixed = named.groupBy("key").agg(F.count_if(~F.col("was")).alias("left"), most["node"].alias("most"), F.min("component").alias("x"), F.max("component").alias("y"))
-        # a pair without a centre takes two classes that have not been one
-        open_ = common.cut(named.join(mixed.where("x <> y and left > 1").select("key", "left", "most"), "key"), "unsettled")
+        mixed = named.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.max_by("component", F.struct("degree", "node")).alias("of")).where("x <> y")
+        open_ = common.cut(named.select("key", "node", "component").join(mixed.select("key", "c", "of").hint("merge"), "key"), "unsettled")
+        common.release(named, crowds)
+        crowds = open_
         if not open_.limit(1).count():
-            return found
-        drawn = F.pmod(F.xxhash64("key", "node"), F.col("left")) < F.lit(wanted - 1)
-        marked = common.cut(open_.select("key", "node", "was", "component", (~F.col("was") & ((F.col("node") == F.col("most")) | drawn)).alias("centre")), "marked")
-        centres = marked.where("centre").select("key", F.col("node").alias("c"), F.col("component").alias("of"))
-        fresh = marked.join(centres, "key").where("component <> of").select(*_pair("node", "c")).distinct()
-        fresh = common.cut(fresh.join(tested, ["a", "b"], "left_anti"), "stars")
+            break
+        if round_ < STARS:
+            fresh = open_.where("component <> of").select(*_pair("node", "c")).distinct()
+        else:
+            sets = common.cut(_sets(open_.select("node", "component").distinct(), docs, classes, width), "sets")
+            fresh = _prefix_pairs(sets, percent)
+            common.release(sets)
+        fresh = common.cut(fresh.join(tested.hint("merge"), ["a", "b"], "left_anti"), "stars")
         more = _confirm(fresh, docs, classes, width, percent)
         if more.limit(1).count():
             links = common.cut(links.unionByName(more), "links")
             found = components(links)
         tested = tested.unionByName(fresh)
-        crowds = marked.select("key", "node", (F.col("was") | F.col("centre")).alias("was"))
-        wanted *= GROWTH
+        crowds = open_.select("key", "node")
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -198,12 +256,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     signed = common.cut(_sign(docs, width), "signed")
     classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("did", "th")).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     classes = common.cut(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", "m.did", "m.th", "n", "bands", "copies"), "classes")
-    found = common.cut(_links(docs, classes, width, percent).join(classes.select("node", "set_id", "did"), "node"), "found")
+    found = common.cut(_links(docs, classes, width, percent).join(classes.select("node", "set_id", "did").hint("merge"), "node"), "found")
     least = found.groupBy("component").agg(F.min("did").alias("least"))
     linked = found.join(least, "component").select("set_id", "least")
     copied = classes.where("copies > 1").select("set_id", F.col("did").alias("own"))
     groups = common.cut(copied.join(linked, "set_id", "full").select("set_id", F.coalesce("least", "own").alias("least")), "groups")
-    named = signed.select("did", "th", "set_id", "n").join(groups, "set_id", "left")
+    common.release(classes, found)
+    named = signed.select("did", "th", "set_id", "n").join(groups.hint("merge"), "set_id", "left")
     component = F.coalesce("least", "did")
     return named.select(
         F.nullif("did", F.lit(_NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(_NO_ID)).alias("component_id"), (F.col("did") == component).alias("kept"), "th"
@@ -211,7 +270,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least doc_id; repeated rows of it stay once."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_did"), F.col("th").alias("_th")).distinct()
-    keyed = docs.withColumns({"_did": common.doc_rank(), "_th": F.xxhash64("text")})
-    return keyed.join(gone, ["_did", "_th"], "left_anti").dropDuplicates(["_did", "_th"]).select(*docs.columns)
+    """``docs`` with one document of each group, the one with the least doc_id; repeated rows of it stay once.
+
+    Columns of any name and type pass through.  Rows without an id stay once per text where no row with an id is in their group.
+    """
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), "th").distinct()
+    keyed = docs.select(common.whole(docs).alias("row"), common.doc_rank().alias("did"), F.xxhash64("text").alias("th"))
+    return keyed.join(gone, ["did", "th"], "left_anti").dropDuplicates(["did", "th"]).select("row.*")
