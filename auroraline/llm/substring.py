@@ -7,14 +7,15 @@ broadcast whole.  It is dealt to shards instead, such that equal spans meet in o
    with one minimiser make a *segment*.  Equal windows have equal minimisers, so only segments of
    the same minimiser can share a window.
 2. Minimisers that one document alone has are dropped, by partial aggregates of their least and
-   greatest doc_id.  Equal segments count once, for the least doc_id that has them: all other
-   holders lose all its windows.
+   greatest doc_id.  Equal segments (by a 128-bit digest of their words) count once, for the least
+   doc_id that has them: all other holders lose all its windows.
 3. The distinct segments of a minimiser are its reference shard.  In ascending order of their first
    doc_id, each segment is streamed over the suffix automaton of those before it; where the matching
    statistic reaches ``span`` words, the window is in a smaller document.
-4. A minimiser with more than SHARD_SEGMENTS distinct segments (a passage in very many contexts)
-   is decided for each of its windows by a 128-bit key and the least doc_id of that key, an
-   aggregate that no hot key can overload.
+4. A shard of more than SHARD segments (a passage in very many contexts) is dealt anew by a longer
+   minimiser, step by step of LONGER, which tells its contexts apart; each step keeps or drops windows
+   by the same rules.  The last minimiser is the window itself, and then a shard has one segment.  So the
+   automata and the tasks that hold them are bounded, and the work grows with the number of segments.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SPAN = 50
-K = 16
-SHARD_SEGMENTS = 256
+K, LONGER = 16, 2
+#: Segments of a shard, and so of an automaton.
+SHARD = 256
 
 
 class SuffixAutomaton:
@@ -106,18 +108,17 @@ def _least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """Segments of some rows of text: start (word in the chunk), number of windows, minimiser and hash."""
+    """Segments of some rows of text: row, start (word in the chunk), number of windows and minimiser of k words."""
 
-    def __init__(self, words: common.Words, span: int):
+    def __init__(self, words: common.Words, span: int, k: int):
         hashes, rows = words.hashes(), words.rows()
         n = len(hashes) - span + 1
         self.row = self.start = self.windows = np.zeros(0, np.int64)
-        self.minimiser = self.hash = np.zeros(0, np.uint64)
-        self.hashes = hashes
+        self.minimiser = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        grams = common.window_hashes(hashes, K)
-        place = _least_places(grams, span - K + 1)[:n]
+        grams = common.window_hashes(hashes, k)
+        place = _least_places(grams, span - k + 1)[:n]
         valid = rows[:n] == rows[span - 1 :]
         first = valid.copy()
         first[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
@@ -126,34 +127,58 @@ class Segments:
         self.start, self.windows = start, ending - start + 1
         self.row = rows[start]
         self.minimiser = grams[place[start]]
-        self.hash = common.span_hashes(hashes, start, start + self.windows + span - 1)
-
-
-_ROW = ["m", "seg", "did", "th", "at", "windows"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(common.doc_rank().alias("did"), F.xxhash64("text").alias("th"), "text")
 
 
-def _segments(docs: DataFrame, span: int) -> DataFrame:
+def _shared(docs: DataFrame, span: int) -> DataFrame:
+    """m: the minimisers that documents of different ids have."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did = batch.column(0).to_numpy()
+            data, offsets = common.utf8(batch.column(1))
+            for i, j in common.chunks(offsets):
+                found = Segments(common.Words(data, offsets[i : j + 1], common.WHITE), span, min(K, span))
+                order = np.argsort(found.minimiser, kind="stable")
+                m, own = found.minimiser[order], did[i + found.row[order]]
+                first = np.flatnonzero(np.diff(m, prepend=~m[:1]))
+                yield pa.RecordBatch.from_arrays([pa.array(m[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first) if len(m) else own), pa.array(np.maximum.reduceat(own, first) if len(m) else own)], ["m", "lo", "hi"])
+
+    held = docs.select(common.doc_rank().alias("did"), "text").mapInArrow(stage, "m long, lo long, hi long")
+    return held.groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("m")
+
+
+def _segments(rows: DataFrame, span: int, k: int, with_words: bool) -> DataFrame:
+    """m, seg, at, windows (and words) of the segments of texts; the text is the last column and the others (longs) are kept."""
+    names = rows.columns[:-1]
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = common.utf8(batch.column(2))
+            column = batch.column(len(names))
+            data, offsets = common.utf8(column)
             for i, j in common.chunks(offsets):
                 words = common.Words(data, offsets[i : j + 1], common.WHITE)
-                found = Segments(words, span)
-                row = i + found.row
+                found = Segments(words, span, min(k, span))
+                at = found.start - words.first[found.row]
+                digests, parts, own, row = [], [], [], -1
+                for r, a, n in zip(found.row.tolist(), at.tolist(), found.windows.tolist(), strict=True):
+                    if r != row:
+                        row, own = r, column[i + r].as_buffer().to_pybytes().split()
+                    part = b" ".join(own[a : a + n + span - 1])
+                    digests.append(hashlib.blake2b(part, digest_size=16).digest())
+                    if with_words:
+                        parts.append(part.decode("utf-8", "surrogatepass"))
+                kept = [batch.column(c).take(pa.array(i + found.row)) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found.minimiser.view(np.int64)), pa.array(found.hash.view(np.int64)), pa.array(did[row]), pa.array(th[row]),
-                        pa.array((found.start - words.first[found.row]).astype(np.int32)), pa.array(found.windows.astype(np.int32)),
-                    ],
-                    _ROW,
+                    [*kept, pa.array(found.minimiser.view(np.int64)), pa.array(digests, pa.binary()), pa.array(at.astype(np.int32)), pa.array(found.windows.astype(np.int32)), *([pa.array(parts, pa.string())] if with_words else [])],
+                    [*names, "m", "seg", "at", "windows", *(["words"] if with_words else [])],
                 )
 
-    return _keyed(docs).mapInArrow(stage, "m long, seg long, did long, th long, at int, windows int")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(stage, ", ".join([*kinds, "m long", "seg binary", "at int", "windows int", *(["words string"] if with_words else [])]))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -165,11 +190,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
             for did, text, segs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split()
                 cut = [b" ".join(words[s["at"] : s["at"] + s["windows"] + span - 1]).decode("utf-8", "surrogatepass") for s in segs]
-                yield pa.RecordBatch.from_arrays([pa.array([s["m"] for s in segs], pa.int64()), pa.array([s["seg"] for s in segs], pa.int64()), pa.array([did] * len(segs), pa.int64()), pa.array(cut, pa.string())], ["m", "seg", "first", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([s["m"] for s in segs], pa.int64()), pa.array([s["seg"] for s in segs], pa.binary()), pa.array([did] * len(segs), pa.int64()), pa.array(cut, pa.string())], ["m", "seg", "first", "words"])
 
     # a row that is there more than once gives its segments once
-    joined = _keyed(docs).join(lists, ["did", "th"]).select("did", "text", "segs")
-    return joined.mapInArrow(stage, "m long, seg long, first long, words string").dropDuplicates(["m", "seg"])
+    joined = _keyed(docs).join(lists.hint("merge"), ["did", "th"]).select("did", "text", "segs")
+    return joined.mapInArrow(stage, "m long, seg binary, first long, words string").dropDuplicates(["m", "seg"])
 
 
 def _stream(shards: DataFrame, span: int) -> DataFrame:
@@ -200,67 +225,71 @@ def _stream(shards: DataFrame, span: int) -> DataFrame:
         yield _verdicts(list(judge(group)))
 
     dealt = shards.select("m", "seg", "first", "words").repartition("m").sortWithinPartitions("m", "first", "seg")
-    return dealt.mapInArrow(stage, "m long, seg long, hits array<int>")
+    return dealt.mapInArrow(stage, "m long, seg binary, hits array<int>")
 
 
 def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["m", "seg", "hits"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["m", "seg", "hits"])
 
 
-def _hot_windows(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """As _stream for the segments of hot minimisers: each window by a hash, beside the minimiser's."""
-    lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("m", "seg", "at", "windows")).alias("segs"))
+def _several(firsts: DataFrame) -> DataFrame:
+    """``firsts`` of the minimisers that have several, with their number as ``size``."""
+    sizes = firsts.groupBy("m").agg(F.count("*").alias("size")).where("size > 1")
+    return firsts.join(sizes.hint("merge"), "m")
 
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = common.utf8(batch.column(1))
-            listed = batch.column(2).to_pylist()
-            for i, j in common.chunks(offsets):
-                words = common.Words(data, offsets[i : j + 1], common.WHITE)
-                windows = common.window_hashes(words.hashes(), span)
-                for row in range(i, j):
-                    for s in listed[row]:
-                        a = words.first[row - i] + s["at"]
-                        n = s["windows"]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([s["m"]] * n, pa.int64()), pa.array([s["seg"]] * n, pa.int64()), pa.array([batch.column(0)[row].as_py()] * n, pa.int64()), pa.array(windows[a : a + n].view(np.int64)), pa.array(np.arange(n, dtype=np.int32))],
-                            ["m", "seg", "first", "window", "place"],
-                        )
-
-    joined = _keyed(docs).join(lists, ["did", "th"]).select("did", "text", "segs")
-    rows = common.cut(joined.mapInArrow(stage, "m long, seg long, first long, window long, place int"), "windows")
-    least = common.cut(rows.groupBy("m", "window").agg(F.min("first").alias("least")), "least")
-    late = rows.join(least, ["m", "window"]).where("least < first")
-    return late.groupBy("m", "seg").agg(F.collect_set("place").alias("hits"))
+
+def _late(segments: DataFrame, known: DataFrame, order: str) -> DataFrame:
+    """``segments`` with ``starts``: the windows that one of a smaller ``order`` has; ``known`` has the first holder and the hits of each distinct segment."""
+    judged = segments.join(known.hint("merge"), ["m", "seg"])
+    every = F.sequence(F.lit(0), F.col("windows") - 1)
+    hits = F.when(F.col(order) > F.col("least"), every).otherwise(F.col("hits"))
+    return judged.withColumn("starts", F.transform(hits, lambda h: h + F.col("at"))).where("starts is not null")
+
+
+def _judge(shards: DataFrame, span: int, k: int) -> DataFrame:
+    """m, seg, hits of distinct segments (m, seg, first, words, size) with a minimiser of k words."""
+    if k >= span:  # segments of one window; only hashes that clash bring two together
+        return _stream(shards, span)
+    verdicts = _stream(shards.where(F.col("size") <= SHARD), span)
+    hot = shards.where(F.col("size") > SHARD)
+    if not hot.limit(1).count():
+        return verdicts
+    k = min(k * LONGER, span)
+    parents = hot.select(F.xxhash64("m", "seg").alias("parent"), "first", "words")
+    parts = common.cut(_segments(parents, span, k, True), "parts")
+    firsts = common.cut(parts.groupBy("m", "seg").agg(F.min("first").alias("first"), F.first("words").alias("words")), "firsts")
+    deeper = _judge(common.cut(_several(firsts), "several"), span, k)
+    known = common.cut(firsts.select("m", "seg", F.col("first").alias("least")).join(deeper.hint("merge"), ["m", "seg"], "left"), "known")
+    late = _late(parts.drop("words"), known, "first").groupBy("parent").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("hits"))
+    named = hot.select("m", "seg", F.xxhash64("m", "seg").alias("parent")).join(late.hint("merge"), "parent").select("m", "seg", "hits")
+    return verdicts.unionByName(named)
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """did, th and ``starts``: first words of the windows of ``span`` words that start in a document with a smaller doc_id too."""
-    segments = common.cut(_segments(docs, span), "segments")
-    # from files again, so that a minimiser with very many segments is split between tasks
-    shared = common.cut(segments.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("m"), "shared")
-    candidates = common.cut(segments.join(shared, "m"), "candidates")
+    shared = common.cut(_shared(docs, span), "shared")
+    # joins of sorted sides, so that a minimiser with very many segments is split between tasks
+    candidates = common.cut(_segments(_keyed(docs), span, K, False).join(shared.hint("merge"), "m"), "candidates")
+    common.release(shared)
     firsts = candidates.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "at", "windows")).alias("f")).select("m", "seg", "f.*")
     firsts = common.cut(firsts, "firsts")
-    sizes = common.cut(firsts.groupBy("m").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    several = common.cut(firsts.join(sizes, "m"), "several")
-    verdicts = _stream(_fetch(docs, several.where(F.col("size") <= SHARD_SEGMENTS), span), span)
-    hot = several.where(F.col("size") > SHARD_SEGMENTS)
-    if hot.limit(1).count():
-        verdicts = verdicts.unionByName(_hot_windows(docs, hot, span))
-    verdicts = common.cut(verdicts, "verdicts")
-    known = common.cut(firsts.select("m", "seg", F.col("did").alias("first")).join(verdicts, ["m", "seg"], "left"), "known")
-    judged = candidates.join(known, ["m", "seg"])
-    every = F.sequence(F.lit(0), F.col("windows") - 1)
-    hits = F.when(F.col("did") > F.col("first"), every).otherwise(F.col("hits"))
-    spans = judged.select("did", "th", F.transform(hits, lambda h: h + F.col("at")).alias("starts")).where("starts is not null")
-    return common.cut(spans.groupBy("did", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "spans")
+    several = common.cut(_several(firsts), "several")
+    words = _fetch(docs, several.drop("size"), span)
+    shards = common.cut(words.join(several.select("m", "seg", "size").hint("merge"), ["m", "seg"]), "shards")
+    common.release(several)
+    verdicts = common.cut(_judge(shards, span, min(K, span)), "verdicts")
+    common.release(shards)
+    known = firsts.select("m", "seg", F.col("did").alias("least")).join(verdicts.hint("merge"), ["m", "seg"], "left")
+    spans = _late(candidates, known, "did").groupBy("did", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    spans = common.cut(spans, "spans")
+    common.release(candidates, firsts, verdicts)
+    return spans
 
 
 def _joined(docs: DataFrame, span: int) -> DataFrame:
-    keyed = docs.withColumns({"_did": common.doc_rank(), "_th": F.xxhash64("text")})
-    spans = repeated_spans(docs, span).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("starts").alias("_starts"))
-    return keyed.join(spans, ["_did", "_th"], "left").select(*docs.columns, "_starts")
+    """row (all columns of ``docs``) and starts (null where nothing repeats)."""
+    keyed = docs.select(common.whole(docs).alias("row"), common.doc_rank().alias("did"), F.xxhash64("text").alias("th"))
+    return keyed.join(repeated_spans(docs, span).hint("merge"), ["did", "th"], "left").select("row", "starts")
 
 
 def _gone(starts: list[int], n: int, span: int) -> np.ndarray:
@@ -270,7 +299,7 @@ def _gone(starts: list[int], n: int, span: int) -> np.ndarray:
 def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text``; white space between kept words stays.
 
-    Null and short texts stay as they are.  Rows without a doc_id come after all others and are no
+    Null and short texts stay as they are, and so do all other columns, whatever their names.  Rows without a doc_id come after all others and are no
     reference for each other; neither are rows with equal ids.  A text may become empty.
     """
 
@@ -289,16 +318,17 @@ def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
         parts.append(text[at:] if not lost else b"")
         return b"".join(parts).rstrip(b" \t\n\r\x0b\x0c") if lost else b"".join(parts)
 
-    columns = docs.columns
+    at = docs.columns.index("text")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.names.index("text")
-            starts = batch.column(batch.schema.names.index("_starts")).to_pylist()
-            texts = [t.as_py() if not s else shorten(t.as_buffer().to_pybytes(), s).decode("utf-8", "surrogatepass") for t, s in zip(batch.column(k), starts, strict=True)]
-            yield batch.set_column(k, "text", pa.array(texts, pa.string())).select(columns)
+            fields, starts = batch.column(0).flatten(), batch.column(1).to_pylist()
+            texts = [t.as_py() if not s else shorten(t.as_buffer().to_pybytes(), s).decode("utf-8", "surrogatepass") for t, s in zip(fields[at], starts, strict=True)]
+            fields[at] = pa.array(texts, fields[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(batch.schema.field(0).type))], ["row"])
 
-    return _joined(docs, span).mapInArrow(stage, docs.schema)
+    joined = _joined(docs, span)
+    return joined.mapInArrow(stage, joined.select("row").schema).select("row.*")
 
 
 def digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -307,13 +337,14 @@ def digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, sums = [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            ids, texts = batch.column(0).flatten()
+            for text, starts in zip(texts, batch.column(1).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 total.append(len(words))
                 if starts:
                     words = [w for w, x in zip(words, _gone(starts, len(words), span).tolist(), strict=True) if not x]
                 removed.append(total[-1] - len(words))
                 sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return _joined(docs.select("doc_id", "text"), span).mapInArrow(stage, "doc_id long, n_words long, n_removed long, kept_sha256 string")

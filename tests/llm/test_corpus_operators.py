@@ -222,7 +222,9 @@ def test_repeated_spans(docs, empty, monkeypatch):
         if doc_id is not None:
             assert tuple(kept) in by_id[doc_id]
     assert substring.digest(empty).count() == 0
-    monkeypatch.setattr(substring, "SHARD_SEGMENTS", 1)  # every shared minimiser is decided window by window
+    monkeypatch.setattr(substring, "SHARD", 1)  # every shared minimiser is dealt anew
+    assert got(substring.digest(docs)) == sorted(want, key=str)
+    monkeypatch.setattr(substring, "SHARD", 4)  # some are
     assert got(substring.digest(docs)) == sorted(want, key=str)
 
 
