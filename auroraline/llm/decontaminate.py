@@ -3,11 +3,13 @@
 Words are lower-cased (A-Z) runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  An item's windows are
 its runs of ``width`` words, or all its words where it has fewer.  The documents' windows are
 hashed with numpy and looked up in a sorted array of the items' hashes; every hit is then verified
-on the words themselves, so a false hash match changes nothing.
+by a 128-bit digest of the words themselves, so a false hash match changes nothing.
 
-Items are dealt to blocks of at most ``block_windows`` windows (hash of the item).  One block at a
-time is built and broadcast, so a broadcast has a fixed bound however many items there are; the
-rows of the documents pass through one stage per block without a shuffle.
+The pairs (window, item) are dealt to blocks of about ``block_windows`` by their hash, so neither a long
+item nor a window that many items have makes a block larger, and a pair takes 33 bytes whatever its
+words are.  One block is the rule, and then the documents pass through one stage without a shuffle.
+With more, the blocks follow each other: each is broadcast, its hits are written out and the broadcast is
+destroyed before the next one is built; the hits are joined to the documents at the end.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH = 10
-#: Windows of items in one broadcast (about 150 bytes each with their words).
-BLOCK_WINDOWS = 400_000
+#: Pairs of window and item in one broadcast, 33 bytes each.
+BLOCK_WINDOWS = 1_000_000
 
 _ASCII = np.zeros(256, dtype=bool)
 _ASCII[:128] = True
@@ -36,142 +38,198 @@ SEPARATORS = _ASCII
 SEPARATORS_RAW = SEPARATORS[common.LOWER]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {i: i + 32 for i in range(65, 91)}
+#: Lower-cases A-Z and turns separators to spaces.
+_TO_SPACE = bytes(np.where(SEPARATORS_RAW, 0x20, common.LOWER).astype(np.uint8))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_FOLD))
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _byte_words(raw: bytes) -> list[bytes]:
+    return raw.translate(_TO_SPACE).split()
+
+
+def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """size, hash, digest, item_id of the distinct windows of all items; null texts have none."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            data, offsets = common.utf8(column)
+            for i, j in common.chunks(offsets):
+                words = common.Words(data, offsets[i : j + 1], SEPARATORS_RAW)
+                hashes = words.hashes(common.LOWER)
+                sizes, found, digests, owner = [], [], [], []
+                for row in range(j - i):
+                    n = int(words.counts[row])
+                    size = min(width, n)
+                    if not size:
+                        continue
+                    a = words.first[row]
+                    own = _byte_words(bytes(words.data[words.offsets[row] : words.offsets[row + 1]]))
+                    found.append(common.window_hashes(hashes[a : a + n], size))
+                    digests += [_digest(own[k : k + size]) for k in range(n - size + 1)]
+                    sizes += [size] * (n - size + 1)
+                    owner += [i + row] * (n - size + 1)
+                flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)), pa.array(digests, pa.binary()), ids.take(pa.array(owner, pa.int64()))], ["size", "hash", "digest", "item_id"])
+
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(stage, "size int, hash long, digest binary, item_id long").distinct()
 
 
 class Block:
-    """Windows of some items: sorted hashes by window length, and the items of each window's words."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        self.items: dict[str, list[int]] = {}
-        lengths: dict[int, list[str]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            size = min(width, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                window = " ".join(words[i : i + size])
-                if window not in self.items:
-                    self.items[window] = []
-                    lengths.setdefault(size, []).append(window)
-                if item_id is not None and item_id not in self.items[window]:
-                    self.items[window].append(item_id)
-        self.hashes = {size: np.unique(self._hash(windows, size)) for size, windows in lengths.items()}
-
-    @staticmethod
-    def _hash(windows: list[str], size: int) -> np.ndarray:
-        data, offsets = common.utf8(pa.array(windows, pa.large_string()))
-        found = common.Words(data, offsets, SEPARATORS)
-        return common.window_hashes(found.hashes(), size)[found.first[:-1]]
-
-
-def item_blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[Block]:
-    """Blocks of items; the driver holds one at a time.  Null texts have no windows."""
-    size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), F.lit(1)))
-    items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.greatest(F.lit(1), size - (width - 1))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_windows))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Block([(r["item_id"], r["text"]) for r in part.toLocalIterator()], width)
-
-
-def scan(words: common.Words, block: Block) -> Iterator[tuple[int, list[int], int, list[int]]]:
-    """(row, positions, window length, item ids of each position's window ...) of verified hits."""
-    hashes, rows, counts = words.hashes(common.LOWER), words.rows(), words.counts
-    hits: dict[int, list[tuple[int, int]]] = {}
-    for size, wanted in block.hashes.items():
+    """Pairs of window and item: for each window length the sorted hashes, the digests and the items."""
+
+    def __init__(self, rows: pa.Table):
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        size, hashes = rows.column("size").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+        digests = np.array(rows.column("digest").to_pylist(), dtype="S16") if len(rows) else np.zeros(0, "S16")
+        known = rows.column("item_id").is_valid().to_numpy()
+        items = rows.column("item_id").fill_null(0).to_numpy()
+        for k in np.unique(size):
+            own = np.flatnonzero(size == k)
+            own = own[np.argsort(hashes[own], kind="stable")]
+            self.parts[int(k)] = hashes[own], digests[own], items[own], known[own]
+
+
+def item_blocks(benchmark: DataFrame, width: int, block_windows: int) -> tuple[int, Iterator[Block]]:
+    """The number of blocks, and the blocks one by one."""
+    windows = common.cut(item_windows(benchmark, width), "windows")
+    blocks = max(1, -(-windows.count() // block_windows))
+
+    def each() -> Iterator[Block]:
+        for b in range(blocks):
+            yield Block(windows.where(F.pmod(F.xxhash64("digest", "item_id"), F.lit(blocks)) == b).toArrow())
+        common.release(windows)
+
+    return blocks, each()
+
+
+def scan(words: common.Words, block: Block) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(row, position, window length, item ids) of verified hits."""
+    hashes, rows = words.hashes(common.LOWER), words.rows()
+    split: dict[int, list[bytes]] = {}
+    for size, (wanted, digests, items, known) in block.parts.items():
         windows = common.window_hashes(hashes, size)
-        at = np.searchsorted(wanted, windows)
-        at[at == len(wanted)] = 0
-        found = np.flatnonzero(wanted[at] == windows)
+        first = np.searchsorted(wanted, windows)
+        found = np.flatnonzero(wanted[np.minimum(first, len(wanted) - 1)] == windows)
         found = found[rows[found] == rows[found + size - 1]]
-        for i in found:
-            hits.setdefault(int(rows[i]), []).append((int(i), size))
-    for row, places in hits.items():
-        a, n = words.first[row], counts[row]
-        raw = bytes(common.LOWER[words.data[words.offsets[row] : words.offsets[row + 1]]]).decode()
-        own = _WORD.findall(raw)
-        assert len(own) == n
-        for i, size in places:
-            ids = block.items.get(" ".join(own[i - a : i - a + size]))
-            if ids is not None:
-                yield row, i - a, size, ids
+        last = np.searchsorted(wanted, windows[found], "right")
+        for i, a, b in zip(found.tolist(), first[found].tolist(), last.tolist(), strict=True):
+            row = int(rows[i])
+            if row not in split:
+                split = {row: _byte_words(bytes(words.data[words.offsets[row] : words.offsets[row + 1]]))}
+            at = i - int(words.first[row])
+            same = a + np.flatnonzero(digests[a:b] == np.bytes_(_digest(split[row][at : at + size])))
+            if len(same):
+                yield row, at, size, items[same[known[same]]]
+
+
+def _hits(texts: pa.Array, block: Block) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Number of words, positions hit and items of each text."""
+    data, offsets = common.utf8(texts)
+    counts, hit, items = [], [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
+    for i, j in common.chunks(offsets):
+        words = common.Words(data, offsets[i : j + 1], SEPARATORS_RAW)
+        counts.append(words.counts)
+        for row, at, size, ids in scan(words, block):
+            hit[i + row].append(np.arange(at, at + size))
+            items[i + row].append(ids)
+    none = np.zeros(0, np.int64)
+    join = lambda parts: [np.unique(np.concatenate(p)) if p else none for p in parts]
+    return np.concatenate(counts) if counts else none, join(hit), join(items)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return common.list_array(np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(p) for p in parts], np.int64), kind)
+
+
+def _marked(rows: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> DataFrame:
+    """``rows`` (row, text) with ``n_words``, ``hit_words`` and ``items`` in place of the text."""
+    spark = rows.sparkSession
+    blocks, each = item_blocks(benchmark, width, block_windows)
+    kept = rows.select("row").schema
+    extra = [pa.field("n_words", pa.int64()), pa.field("hit_words", pa.list_(pa.int32())), pa.field("items", pa.list_(pa.int64()))]
+    out = rows.select("row", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<long>").alias("items")).schema
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast(next(each))
+        next(each, None)
+
+        def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts, hit, items = _hits(batch.column(1), shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), _lists(hit, pa.int32()), _lists(items, pa.int64())], [kept.names[0], *[f.name for f in extra]])
+
+        return rows.mapInArrow(stage, out)
+
+    keyed = rows.select(F.xxhash64("text").alias("th"), F.length("text").alias("size"), "text")
+    found = None
+    for block in each:
+        shared = spark.sparkContext.broadcast(block)
+
+        def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, hit, items = _hits(batch.column(2), shared.value)
+                own = np.flatnonzero([len(h) > 0 for h in hit])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), _lists([hit[k] for k in own], pa.int32()), _lists([items[k] for k in own], pa.int64())], ["th", "size", "hit_words", "items"])
+
+        part = common.cut(keyed.mapInArrow(one, "th long, size int, hit_words array<int>, items array<long>"), "hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("th", "size").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(1))
+            counts = [common.Words(data, offsets[i : j + 1], SEPARATORS_RAW).counts for i, j in common.chunks(offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), *batch.columns[2:]], [kept.names[0], *[f.name for f in extra]])
+
+    both = rows.withColumns({"th": F.xxhash64("text"), "size": F.length("text")}).join(merged, ["th", "size"], "left")
+    none = [F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<long>")).alias("items")]
+    return both.select("row", "text", *none).mapInArrow(count, out)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with ``n_words`` long, ``hit_words`` array<int> (positions, ascending) and ``items`` array<long> (ids with a hit).
 
-    A null text has no words; an item without words hits nothing; an item with a null id hits but
-    is not listed.  Other columns pass through; ones named like the three new ones are replaced.
+    A null or empty text has no words; an item without words hits nothing; an item with a null id hits but
+    is not listed; equal items are all listed; repeated rows get equal results.  Other columns pass
+    through; ones named like the three new ones are replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_words", "items")
-    schema = docs.schema
-    out = docs
-    for number, block in enumerate(item_blocks(benchmark, width, block_windows)):
-        shared = spark.sparkContext.broadcast(block)
-        after = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<long>")}).schema
+    marked = _marked(docs.select(common.whole(docs).alias("row"), "text"), benchmark, width, block_windows)
+    return marked.select("row.*", "n_words", "hit_words", "items")
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` without those that hold a window of an item; columns of any name, and their values, as before."""
+    marked = _marked(docs.select(common.whole(docs).alias("row"), "text"), benchmark, width, block_windows)
+    return marked.where(F.size("hit_words") == 0).select("row.*")
 
-        def stage(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                column = batch.column(names.index("text"))
-                n_words, hit_words, items = [], [[] for _ in range(len(column))], [[] for _ in range(len(column))]
-                data, offsets = common.utf8(column)
-                for i, j in common.chunks(offsets):
-                    words = common.Words(data, offsets[i : j + 1], SEPARATORS_RAW)
-                    n_words.append(words.counts)
-                    for row, at, size, ids in scan(words, shared.value):
-                        hit_words[i + row].extend(range(at, at + size))
-                        items[i + row].extend(ids)
-                if not first:
-                    for row, (a, b) in enumerate(zip(batch.column(names.index("hit_words")).to_pylist(), batch.column(names.index("items")).to_pylist(), strict=True)):
-                        hit_words[row] += a
-                        items[row] += b
-                kept = [(c, n) for c, n in zip(batch.columns, names, strict=True) if n not in ("n_words", "hit_words", "items")]
-                yield pa.RecordBatch.from_arrays(
-                    [c for c, _ in kept]
-                    + [
-                        pa.array(np.concatenate(n_words) if n_words else [], pa.int64()),
-                        pa.array([sorted(set(x)) for x in hit_words], pa.list_(pa.int32())),
-                        pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64())),
-                    ],
-                    [n for _, n in kept] + ["n_words", "hit_words", "items"],
-                )
-
-        out = out.mapInArrow(stage, after)
-    assert out.schema.names[: len(schema)] == schema.names
-    return out
-
-
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a window of an item; columns as before."""
-    return mark(docs, benchmark, **options).where(F.size("hit_words") == 0).select(*docs.columns)
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` with the hit words taken out of ``text``; whitespace and all else stays."""
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` with the hit words taken out of ``text``; whitespace, all else and all other columns stay."""
+    at = docs.columns.index("text")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hit_words").to_pylist(), strict=True):
+            fields, texts = batch.column(0).flatten(), []
+            for text, hits in zip(fields[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if hits:
                     spans = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
-                    gone, parts, at = set(hits), [], 0
+                    gone, parts, end = set(hits), [], 0
                     for k, (a, b) in enumerate(spans):
                         if k in gone:
-                            parts.append(text[at:a])
-                            at = b
-                    text = "".join([*parts, text[at:]])
+                            parts.append(text[end:a])
+                            end = b
+                    text = "".join([*parts, text[end:]])
                 texts.append(text)
-            yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
+            fields[at] = pa.array(texts, fields[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(batch.schema.field(0).type))], ["row"])
 
-    marked = mark(docs, benchmark, **options)
-    return marked.mapInArrow(stage, marked.schema).select(*docs.columns)
+    marked = _marked(docs.select(common.whole(docs).alias("row"), "text"), benchmark, width, block_windows).select("row", "hit_words")
+    return marked.mapInArrow(stage, marked.select("row").schema).select("row.*")
 
 
 def digest(marked: DataFrame) -> DataFrame:
@@ -181,6 +239,3 @@ def digest(marked: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"),
     )
-
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()

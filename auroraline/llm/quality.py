@@ -169,14 +169,16 @@ def _broken() -> Column:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``docs`` without those that a base or controlled rule rejects; columns and their values as before."""
-    if stratum not in docs.columns:
-        docs_in = docs.withColumn(stratum, F.lit(None).cast("string"))
-    else:
-        docs_in = docs
-    found = common.cut(cutoffs(common.cut(features(docs_in, (stratum,)), "quality"), labels, stratum, alpha, delta), "cutoffs")
-    whole = docs_in.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
-    judged = features(whole, ("_row", "_stratum")).join(_wide(found), F.col("_stratum") == F.col("stratum"), "left")
+    """``docs`` without those that a base or controlled rule rejects; columns of any name, and their values, as before.
+
+    Null and empty texts are rejected by the base rules; null doc_ids carry no label but are judged like others;
+    repeated rows are judged one by one.  Each text is looked at once: its row is written with its counts.
+    """
+    own = F.col(stratum).cast("string") if stratum in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(common.whole(docs).alias("_row"), F.col("doc_id"), F.col("text"), F.coalesce(own, F.lit("")).alias("_stratum"))
+    feats = common.cut(features(rows, ("_row", "_stratum")), "quality")
+    found = common.cut(cutoffs(feats.drop("_row"), labels, "_stratum", alpha, delta), "cutoffs")
+    judged = feats.join(_wide(found), F.col("_stratum") == F.col("stratum"), "left")
     return judged.where(~F.col("base_failed") & _broken().isNull()).select("_row.*")
 
 

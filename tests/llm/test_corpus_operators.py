@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from auroraline.llm import bpe, decontaminate, langid, lm_score, neardup, quality, rollup, substring, tokenstore, toxicity
 from auroraline.llm.queries import tokenizer_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, n int, th string, node string, items string"
+#: Names that operators have for columns of their own, with values that must pass through.
+CLASHES = {"n_words int": 7, "n int": 8, "th string": "a", "node string": "b", "items string": "c", "did string": "d", "_did string": "e", "_th int": 9, "row string": "f", "_row string": "g", "starts string": "h", "_starts int": 10, "hit_words string": "i", "component string": "j", "_stratum string": "k", "stratum int": 11, "`a.b` int": 12, "words string": "l", "size string": "m", "least int": 13, "_words int": 14, "key int": 15}
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(CLASHES)
 BIG = 2**63 - 1
 
 
@@ -37,9 +39,14 @@ def corpus() -> list[tuple[int | None, str | None]]:
     return rows
 
 
+def rest(doc_id):
+    """All columns of a row but its id and text."""
+    return (["en", "fr", None][(doc_id or 0) % 3], "s", 0, *CLASHES.values())
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(d, t, ["en", "fr", None][(d or 0) % 3], "s", 0, 7, 8, "a", "b", "c") for d, t in corpus()], DOCS).repartition(3)
+    return spark.createDataFrame([(d, t, *rest(d)) for d, t in corpus()], DOCS).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -85,12 +92,26 @@ def test_decontaminate(spark, docs, empty, block):
     assert got(decontaminate.digest(marked)) == sorted(want, key=str)
     assert sum(r[-1] for r in want) > 5
     kept = decontaminate.remove_documents(docs, items, block_windows=block)
-    assert kept.columns == docs.columns and kept.count() == sum(not r[-1] for r in want)
+    assert kept.columns == docs.columns and got(kept) == sorted(((d, t, *rest(d)) for (d, t), r in zip(corpus(), want, strict=True) if not r[-1]), key=str)
     assert decontaminate.mark(empty, items).count() == 0
     assert decontaminate.remove_documents(docs, items.limit(0)).count() == docs.count()
-    if block > 3:
-        left = decontaminate.remove_spans(docs, items)
-        assert decontaminate.mark(left.where("doc_id = 83"), items).select(F.size("hit_words")).first()[0] == 0
+    left = decontaminate.remove_spans(docs, items, block_windows=block)
+    assert decontaminate.mark(left.where("doc_id = 83"), items).select(F.size("hit_words")).first()[0] == 0
+    assert {tuple(r)[2:] for r in left.collect()} == {rest(d) for d, _ in corpus()}
+    assert decontaminate.remove_spans(empty, items).count() == 0
+
+
+def test_blocks_are_bounded(spark):
+    """Neither a long item nor a window that many items have makes a block larger."""
+    long = " ".join(f"w{k}" for k in range(5000))
+    items = spark.createDataFrame([(0, long), *[(i, "one two three four five six seven eight nine ten") for i in range(1, 3001)]], "item_id long, text string")
+    n, blocks = decontaminate.item_blocks(items, 10, 1000)
+    sizes = [sum(len(p[0]) for p in b.parts.values()) for b in blocks]
+    assert len(sizes) == n == 8 and sum(sizes) == 4991 + 3000 and max(sizes) < 1200
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten eleven"), (2, long[-40:]), (3, long)], "doc_id long, text string")
+    marked = {r["doc_id"]: r for r in decontaminate.mark(docs, items, block_windows=1000).collect()}
+    assert marked[1]["items"] == list(range(1, 3001)) and marked[1]["hit_words"] == list(range(1, 11)) and marked[1]["n_words"] == 12
+    assert marked[2]["items"] == [] and marked[3]["items"] == [0] and len(marked[3]["hit_words"]) == 5000
 
 
 def sets(text, width):
@@ -117,6 +138,7 @@ def test_near_duplicates(docs, empty, width, percent):
     assert got(found.select("doc_id", "n_shingles", "component_id", "kept")) == sorted(want, key=str)
     kept = neardup.drop_near_duplicates(docs, width, percent)
     assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= {(d, t, *rest(d)) for d, t in corpus()}
     assert sorted(r[0] for r in kept.where("doc_id is not null").select("doc_id").collect()) == sorted({r[0] for r in want if r[3] and r[0] is not None})
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
 
@@ -214,7 +236,8 @@ def test_repeated_spans(docs, empty, monkeypatch):
     assert sum(r[2] > 0 for r in want) > 10
     assert got(substring.digest(docs)) == sorted(want, key=str)
     left = substring.remove(docs)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and substring.remove(empty).count() == 0
+    assert sorted(((r[0], *tuple(r)[2:]) for r in left.collect()), key=str) == sorted(((d, *rest(d)) for d, _ in corpus()), key=str)
     by_id = {}
     for r in left.where("doc_id is not null").collect():
         by_id.setdefault(r["doc_id"], set()).add(tuple(words(r["text"])))
@@ -264,7 +287,10 @@ def test_quality_without_evidence(spark, docs, empty):
     assert judged.where("kept = base_failed").count() == 0 and judged.count() == docs.count()
     assert quality.judge(empty, none).count() == 0
     kept = quality.keep_documents(docs, none)
+    passed = {r["doc_id"] for r in judged.where("kept").collect()}
     assert kept.columns == docs.columns and kept.count() == judged.where("kept").count()
+    assert got(kept) == sorted(((d, t, *rest(d)) for d, t in corpus() if d in passed and (d is not None or t)), key=str)
+    assert quality.keep_documents(empty, none).count() == 0
 
 
 def test_binomial_tail(spark):
