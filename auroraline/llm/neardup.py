@@ -6,9 +6,9 @@
    the probability of the sets' similarity.  Documents with the same set are one *class* from there on.
 2. ROWS neighbouring bins make a band; classes with an equal band share a bucket.  A pair of
    similarity 0.8 misses all 40 bands with probability 5e-6, one of 0.85 with 6e-9.
-3. A bucket's candidates are stars: its least and its greatest class to all others and, while it holds
-   several components, the class with the most links to all others.  Each edge is confirmed on the full
-   sets, and confirmed links are joined to components.
+3. A bucket's candidates are stars: its least class to all others and, while it holds several components,
+   the class with the most links to all others.  Each edge is confirmed on the full sets, and
+   confirmed links are joined to components.
 4. The classes of buckets that still hold several components are *unsettled*.  All links between their
    components are found by an exact prefix join: shingles are put in one order, first those that a single
    component has and then by their frequency; two sets can only be alike if they share a shingle in
@@ -120,11 +120,7 @@ def _sign(docs: DataFrame, width: int) -> DataFrame:
 
 def _confirm(edges: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``edges`` whose sets are similar enough, from the full texts of their classes."""
-    sizes = classes.select("node", "n")
-    both = edges.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    # |A & B| / |A | B| is no more than the smaller size by the larger one
-    edges = common.cut(both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"), "edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     wanted = nodes.join(classes.select("node", "did", "th"), "node")
     keyed = docs.select(common.doc_rank().alias("did"), F.xxhash64("text").alias("th"), "text")
     texts = common.cut(keyed.join(wanted, ["did", "th"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -147,16 +143,34 @@ def _confirm(edges: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     paired = edges.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return common.cut(paired.mapInArrow(stage, "a long, b long"), "confirmed")
+    good = common.cut(paired.mapInArrow(stage, "a long, b long"), "confirmed")
+    common.release(texts)
+    return good
 
 
 def _pair(x: Column | str, y: Column | str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _component(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """``classes`` with their component; one without links is its own."""
-    return classes.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _can(x: str, y: str, percent: int) -> Column:
+    """Whether sets of so many shingles can be alike: |A & B| / |A | B| is no more than the smaller size by the larger one."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links: only the components that they touch are joined anew."""
+    ends = links
+    for end in ("a", "b"):
+        own = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = ends.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    ends = common.cut(ends, "ends")
+    names = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct())
+    names = names.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    alone = ends.select(F.col("a").alias("node"), F.col("of_a").alias("component")).union(ends.select("b", "of_b")).where("node = component")
+    every = found.union(alone).distinct()
+    merged = common.cut(every.join(names, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "merged")
+    common.release(ends)
+    return merged
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -209,29 +223,31 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link."""
-    dealt = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("size > 1")
-    buckets = common.cut(dealt.select("node", "key").join(shared.hint("merge"), "key"), "buckets")
-    stars = F.explode(F.array(F.struct(*_pair("lo", "node")), F.struct(*_pair("hi", "node"))))
-    tested = common.cut(buckets.select(stars.alias("e")).select("e.*").where("a < b").distinct(), "stars")
+    dealt = classes.select("node", "n", F.explode("bands").alias("key"))
+    # tables of their own, so that both sides of a join are sorted from files and a hot key is split
+    shared = common.cut(dealt.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lo")).where("size > 1"), "shared")
+    buckets = common.cut(dealt.join(shared.hint("merge"), "key"), "buckets")
+    common.release(shared)
+    tested = buckets.where((F.col("node") != F.col("lo.node")) & _can("n", "lo.n", percent)).select(*_pair("lo.node", "node")).distinct()
+    tested = common.cut(tested, "stars")
     links = _confirm(tested, docs, classes, width, percent)
     found = components(links)
-    # the least and the greatest of three classes have been tested with all
-    crowds = common.cut(buckets.where("size > 3").select("key", "node"), "crowds")
+    crowds = common.cut(buckets.where("size > 2").select("key", "node", "n"), "crowds")  # of two, the only pair has been tested
     common.release(buckets)
     for round_ in range(STARS + 1):
-        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        degrees = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
         known = found.join(degrees, "node").select("node", "component", "degree")
-        named = _component(crowds, known).select("key", "node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
-        named = common.cut(named, "named")
-        mixed = named.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.max_by("component", F.struct("degree", "node")).alias("of")).where("x <> y")
-        open_ = common.cut(named.select("key", "node", "component").join(mixed.select("key", "c", "of").hint("merge"), "key"), "unsettled")
-        common.release(named, crowds)
+        named = crowds.select("key", "node", "n").join(known.hint("merge"), "node", "left")
+        named = common.cut(named.select("key", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "n", F.coalesce("component", "node").alias("component")).alias("own")), "named")
+        mixed = named.groupBy("key").agg(F.max("own").alias("c"), F.min("own.component").alias("x"), F.max("own.component").alias("y")).where("x <> y")
+        mixed = common.cut(mixed.select("key", "c"), "mixed")
+        open_ = common.cut(named.join(mixed.hint("merge"), "key").select("key", "own.node", "own.n", "own.component", "c"), "unsettled")
+        common.release(named, mixed, crowds)
         crowds = open_
         if not open_.limit(1).count():
             break
         if round_ < STARS:
-            fresh = open_.where("component <> of").select(*_pair("node", "c")).distinct()
+            fresh = open_.where((F.col("component") != F.col("c.component")) & _can("n", "c.n", percent)).select(*_pair("node", "c.node")).distinct()
         else:
             sets = common.cut(_sets(open_.select("node", "component").distinct(), docs, classes, width), "sets")
             fresh = _prefix_pairs(sets, percent)
@@ -239,10 +255,9 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
         fresh = common.cut(fresh.join(tested.hint("merge"), ["a", "b"], "left_anti"), "stars")
         more = _confirm(fresh, docs, classes, width, percent)
         if more.limit(1).count():
-            links = common.cut(links.unionByName(more), "links")
-            found = components(links)
+            links = links.unionByName(more)
+            found = _merged(found, more)
         tested = tested.unionByName(fresh)
-        crowds = open_.select("key", "node")
     return found
 
 

@@ -100,7 +100,7 @@ class PieceIds:
     ``limit`` pieces the cache starts anew, which bounds its memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
