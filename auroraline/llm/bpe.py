@@ -173,36 +173,41 @@ def text_chunks(column: pa.Array) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids`` array<int> and ``decoded`` string; a null text is taken as empty.  Other columns pass through."""
+    """``docs`` with ``ids`` array<int> and ``decoded`` string; a null text is taken as empty.
+
+    Other columns pass through, whatever their names; ones named like the two new ones are replaced.
+    Repeated rows get equal results.
+    """
     docs = docs.drop("ids", "decoded")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    rows = docs.select(common.whole(docs).alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
             ids, decoded = [], []
-            for texts in text_chunks(batch.column(batch.schema.names.index("text"))):
+            for texts in text_chunks(batch.column(1)):
                 for i, d in own.encode(texts):
                     ids.append(i)
                     decoded.append(d)
             flat = common.list_array(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(i) for i in ids], np.int64), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(decoded, pa.string())], [*batch.schema.names, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array(decoded, pa.string())], ["row", "ids", "decoded"])
 
-    return docs.mapInArrow(stage, schema)
+    return rows.mapInArrow(stage, schema).select("row.*", "ids", "decoded")
 
 
 def decode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``decoded`` for their ``ids``: the tokens joined by one space, special ones included; null ids decode to null."""
     docs = docs.drop("decoded")
+    rows = docs.select(common.whole(docs).alias("row"), "ids")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path).tokens
         for batch in batches:
-            rows = batch.column(batch.schema.names.index("ids")).to_pylist()
-            texts = [None if r is None else " ".join([tokens[i] for i in r]) for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            texts = [None if r is None else " ".join([tokens[i] for i in r]) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
 
-    return docs.mapInArrow(stage, T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(stage, T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())])).select("row.*", "decoded")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

@@ -462,9 +462,58 @@ def test_lm_charges_words_beyond_the_most_frequent(spark):
     assert len(found) == 401 and found[9000] < min(v for d, v in found.items() if d < 9000)
 
 
+def test_lm_against_a_plain_version(spark, monkeypatch):
+    """Scores word by word, with the whole softmax, from the trained weights; some counts are broadcast and some joined."""
+    monkeypatch.setattr(lm_score, "TABLE", 7000)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"W{int(9000 * rng.random() ** 2)}" for _ in range(rng.randint(1, 120)))) for i in range(400)] + [(7, "x1 x2"), (8, ""), (9, None)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = lm_score.vocabulary(docs)
+    flat = lm_score.train(docs, vocab)
+    found = sorted(((r["doc_id"], r["n_tokens"], r["pseudo_log_likelihood"]) for r in lm_score.score(docs, vocab, flat).collect()), key=str)
+    counts = {}
+    for _, t in rows:
+        for w in (t or "").lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    key = {w: int(lm_score.common.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), lm_score.SEPARATORS_RAW).hashes()[0]) for w in counts}
+    top = sorted(counts, key=lambda w: (-counts[w], key[w]))[: lm_score.SIZE - 1]
+    rank = {w: k for k, w in enumerate(top)}
+    rest = sum(n for w, n in counts.items() if w not in rank), sum(w not in rank for w in counts)
+    assert len(counts) > len(vocab.known) > lm_score.SIZE and vocab.rest == rest
+    net = lm_score.Network(flat)
+    vector = lambda w: net.vectors[rank[w] if w in rank else lm_score.SIZE + (key[w] >> 40) % lm_score.RARE]
+    edge, want = np.zeros(lm_score.DIM), []
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for d, t in rows:
+        words_, total = (t or "").lower().split(), 0.0
+        n_rest = sum(w not in rank for w in words_)
+        for i, w in enumerate(words_):
+            near = [vector(words_[i + k]) if 0 <= i + k < len(words_) else edge for k in (-2, -1, 1, 2)]
+            h = np.tanh(np.concatenate(near) @ net.w + net.b)
+            token = rank.get(w, lm_score.SIZE - 1)
+            c, m = divmod(token, lm_score.CLASS)
+            total += soft(h @ net.cw + net.cb)[c] + soft(h @ net.mw[c] + net.mb[c])[m]
+            if w not in rank:
+                total += math.log((counts[w] - words_.count(w) + lm_score.PRIOR) / (rest[0] - n_rest + lm_score.PRIOR * rest[1]))
+        want.append((d, len(words_), total))
+    want.sort(key=str)
+    assert [f[:2] for f in found] == [w[:2] for w in want]
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in want], rel=1e-3, abs=1e-3)
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 4000)
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{int(3000 * rng.random() ** 2)}" for _ in range(60))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["mean_log_probability"] for r in lm_score.fit_and_score(docs.repartition(n)).collect()} for n in (1, 16))
+    assert max(abs(one[d] - many[d]) for d in one) < 1e-4
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(2)
-    near, token = rng.integers(0, lm_score.SIZE, (64, 2 * lm_score.SIDE)), rng.integers(0, lm_score.SIZE, 64)
+    near, token = rng.integers(0, lm_score.SIZE + lm_score.RARE, (64, 2 * lm_score.SIDE)), rng.integers(0, lm_score.SIZE, 64)
     net = lm_score.Network.start()
     before = net.log_probability(near, token).mean()
     seen = lm_score.Network()
