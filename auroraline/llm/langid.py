@@ -26,11 +26,11 @@ from pyspark.sql import window as W
 
 from . import common
 
-#: Documents of each language that the field is fitted on, those with the least hash of their id.
-SAMPLE = 300
-#: Languages that can be learned; more are refused rather than dropped.
-MAX_LANGS = 500
-LENGTH, BUCKETS, EPOCHS, RATE, STRETCH = 256, 1 << 17, 3, 0.5, 24
+#: Documents of each language that the field is fitted on, those with the least hash of their id, and their bytes; all languages together have TOTAL documents at most, but one each.
+SAMPLE, SAMPLE_BYTES, TOTAL = 300, 4 << 20, 60_000
+#: Buckets of features, and weights of all buckets and languages: with very many languages there are fewer buckets.
+BUCKETS, WEIGHTS = 1 << 17, 1 << 24
+LENGTH, EPOCHS, RATE, STRETCH = 256, 3, 0.5, 24
 
 _OUT = np.ones(256, bool)
 _OUT[0x61:0x7B] = False
@@ -51,7 +51,12 @@ def lower_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return common.utf8(pa.array([(t or "").lower() for t in texts], pa.large_string()))
 
 
-def word_features(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(langs: int) -> int:
+    """Buckets of a field: a power of two, so that its weights stay within WEIGHTS however many languages there are."""
+    return max(1 << 8, min(BUCKETS, 1 << (max(1, WEIGHTS // max(1, langs)).bit_length() - 1)))
+
+
+def word_features(words: common.Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) pairs of all features of all words, repeats included."""
     keys = common.BYTE_KEYS[words.data]
     starts, ends = words.starts, words.ends
@@ -66,7 +71,7 @@ def word_features(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     first = common.ragged(np.arange(len(keys)), starts, n)
     owner.append(np.repeat(at, n))
     hashes.append(common.mix(common.span_hashes(keys, first, first + 3) + np.uint64(30)))
-    return np.concatenate(owner), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.concatenate(owner), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
 def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +91,7 @@ class Field:
     moves: np.ndarray
 
     def emissions(self, words: common.Words) -> np.ndarray:
-        owner, bucket = word_features(words)
+        owner, bucket = word_features(words, len(self.weights))
         out = np.empty((len(words), len(self.langs)))
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner, self.weights[bucket, k], len(words))
@@ -132,10 +137,11 @@ def fit(texts: list[str], langs: list[str]) -> Field:
     data, offsets = lower_bytes(texts)
     words = common.Words(data, offsets, _OUT)
     k = len(names)
-    field = Field(names, np.zeros((BUCKETS, k)), np.zeros((k, k)))
+    size = buckets_for(k)
+    field = Field(names, np.zeros((size, k), np.float32), np.zeros((k, k)))
     if k < 2:
         return field
-    owner, bucket = word_features(words)
+    owner, bucket = word_features(words, size)
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     border = np.searchsorted(owner, np.arange(len(words) + 1))
@@ -145,7 +151,7 @@ def fit(texts: list[str], langs: list[str]) -> Field:
     stretch = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
     limit = np.repeat(words.first[1:], [len(range(a, b, STRETCH)) for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
     length = np.minimum(STRETCH, limit - stretch)
-    squares, move_squares = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
+    squares, move_squares = np.full((size, k), 1e-6, np.float32), np.full((k, k), 1e-6)
     for _ in range(EPOCHS):
         dealt = rng.permutation(len(stretch))
         for a in range(0, len(dealt), 512):
@@ -174,15 +180,22 @@ def fit(texts: list[str], langs: list[str]) -> Field:
 
 
 def fit_field(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field from documents that are not held out and have a language and an id."""
-    allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = allowed.select("lang").distinct().limit(MAX_LANGS + 1).count()
-    if n > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    rank = F.row_number().over(W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = allowed.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").collect()  # n * sample rows at most
-    return fit([r["text"] or "" for r in rows], [r["lang"] for r in rows])
+    """The field from documents that are not held out and have a language and an id.
+
+    Of rows with one id and language, the one with the least hash of its text counts.  Null and empty texts have nothing to learn.
+    """
+    allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    langs = allowed.select("lang").distinct().count()
+    sample = max(1, min(sample, TOTAL // max(1, langs)))
+    sized = allowed.select("doc_id", "lang", F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("bytes"))
+    order = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    ranked = sized.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
+    # at most langs * sample rows from here on
+    within = F.sum("bytes").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) <= SAMPLE_BYTES
+    chosen = ranked.withColumn("within", within | (F.col("at") == 1)).where("within").groupBy("doc_id", "lang").agg(F.min("th").alias("th"))
+    keyed = allowed.select("doc_id", "lang", F.xxhash64("text").alias("th"), "text")
+    rows = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "th"]).dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").collect()
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def has_letter(text: str | None) -> bool:

@@ -75,11 +75,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 _OP8 = r"""
-WITH c AS (SELECT doc_id, source, lang, length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS a,
-             len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_\x{80}-\x{10FFFF}]+|[!-/:-@\[-^`{-~]')) AS b FROM documents),
-bad AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 0),
-good AS (SELECT * FROM c ANTI JOIN bad USING (doc_id)),
-t AS (SELECT source, lang, 'whitespace/1' AS tokenizer, CASE WHEN a <> b THEN b ELSE a END AS n, n_chars FROM good UNION ALL SELECT source, lang, 'wordpunct/1', b, n_chars FROM good)
+WITH m AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT source, lang, CASE WHEN m.toxic = 1 THEN regexp_replace(text, '[#*$%&|<>@_-]', ' ', 'g') ELSE text END AS text
+      FROM documents LEFT JOIN m USING (doc_id) WHERE coalesce(m.quality, 1) <> 0),
+c AS (SELECT source, lang, length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS a,
+             len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_\x{80}-\x{10FFFF}]+|[!-/:-@\[-^`{-~]')) AS b FROM d),
+t AS (SELECT source, lang, 'whitespace/1' AS tokenizer, a AS n, n_chars FROM c UNION ALL SELECT source, lang, 'wordpunct/1', b, n_chars FROM c)
 SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM t GROUP BY ALL
 """
 

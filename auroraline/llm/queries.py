@@ -53,19 +53,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The text of a revised document: symbols become spaces, which changes the counts of both versions.
+REDACTED = "regexp_replace(text, '[#*$%&|<>@_-]', ' ')"
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted; those that a label calls bad are deleted; those in which both versions differ get their old version revised to the new one; then all batches come again."""
+    """All documents are inserted; those that a label calls bad are deleted; those that a label calls toxic, and none bad, are replaced by a text without symbols; then all batches come again."""
     names = list(rollup.TOKENIZERS)
-    counts = cut(rollup.counted(table(spark, sf_dir, "documents")), "counts")
-    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg({"quality": "min"}).where("`min(quality)` = 0").select("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    bad, changed = marks.where("quality = 0").select("doc_id"), marks.where("toxic = 1 and quality <> 0").select("doc_id")
+    counts = cut(rollup.counted(docs), "counts")
+    new = rollup.counted(docs.join(changed, "doc_id", "left_semi").withColumn("text", F.expr(REDACTED)))
     ledger = rollup.Ledger(spark, scratch_path(spark, "ledger"))
-    old, new = names
-    differ = counts.join(bad, "doc_id", "left_anti").where(f"`{old}` <> `{new}`")
-    revised = differ.select("source", "lang", "n_chars", F.explode(F.array(F.struct(F.lit(-1).alias("s"), F.col(f"`{old}`").alias("n")), F.struct(F.lit(1).alias("s"), F.col(f"`{new}`").alias("n")))).alias("r"))
     batches = {
         "inserts": rollup.deltas(counts, names),
         "deletes": rollup.deltas(counts.join(bad, "doc_id", "left_semi"), names, -1),
-        "revisions": rollup.deltas(revised.select("source", "lang", "n_chars", "r.s", F.col("r.n").alias(old)), [old], F.col("s")),
+        "revisions": rollup.revisions(counts.join(changed, "doc_id", "left_semi"), new, names),
     }
     for name in [*batches, *batches]:
         ledger.commit(name, batches[name])

@@ -11,6 +11,12 @@ writer, so committing it again, after a failure or by mistake, changes nothing.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +40,26 @@ def counted(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFr
     return docs.select("doc_id", "source", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), *counts)
 
 
+def counted_by_file(docs: DataFrame, name: str, path: str) -> DataFrame:
+    """As ``counted``, for the version ``name`` of a byte-level BPE vocabulary file."""
+    from .bpe import text_chunks
+    from .tokenstore import byte_encoder
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = byte_encoder(path)
+        for batch in batches:
+            n = [own.encode(texts)[1] for texts in text_chunks(batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())], ["doc_id", "source", "lang", "n_chars", name])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "source", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "text")
+    return rows.mapInArrow(stage, f"doc_id long, source string, lang string, n_chars long, `{name}` long")
+
+
+def revisions(old: DataFrame, new: DataFrame, tokenizers: list[str]) -> DataFrame:
+    """One batch of signed sums that takes off the old counts of some documents and adds the new ones."""
+    return deltas(old.withColumn("_s", F.lit(-1)).unionByName(new.withColumn("_s", F.lit(1))), tokenizers, F.col("_s"))
+
+
 def deltas(counts: DataFrame, tokenizers: list[str], sign: int | Column = 1) -> DataFrame:
     """Signed sums of counted documents by group; partial sums before the shuffle, so a hot source costs a row a task."""
     sign = F.lit(sign) if isinstance(sign, int) else sign
@@ -68,16 +94,25 @@ class Ledger:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the deltas of a batch; False, and nothing done, where the batch is already there.
 
-        The folder appears by one rename of a finished table.  What a failed attempt left is replaced.
+        Each attempt writes a table of its own and renames it; a rename never replaces a folder, so of two
+        writers one wins and the other gets False.  What a failed attempt left is not read and does not disturb.
         """
         if self.committed(batch):
             return False
-        target, staged = self._fs_path(self._folder(batch)), self._fs_path(f"{self.path}/_staged-{batch}")
-        changes.select(*GROUP, *MEASURES).write.mode("overwrite").parquet(staged.toString())
-        if self._fs.exists(target):
+        target, staged = self._fs_path(self._folder(batch)), self._fs_path(f"{self.path}/_staged-{batch}-{uuid.uuid4().hex}")
+        changes.select(*GROUP, *MEASURES).write.parquet(staged.toString())
+        if self._fs.exists(target) and not self.committed(batch):
             self._fs.delete(target, True)
-        if not self._fs.rename(staged, target):
-            raise OSError(f"can't commit {target}")
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs
+        no_options = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(staged.toUri() if staged.isUriPathAbsolute() and staged.toUri().getScheme() else self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(staged, target, no_options)
+        except Py4JJavaError:
+            self._fs.delete(staged, True)
+            if self.committed(batch):
+                return False
+            raise
         return True
 
     def totals(self) -> DataFrame:

@@ -7,7 +7,10 @@ not as good as they are on documents the earlier model has learned.
 
 Words are lower-cased (A-Z) runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  Features are words and
 beginnings of words that MIN_DOCS or more sample documents have, present or not.  Fitting takes at most ``sample`` labelled
-documents, those with the least hash of their id; documents are scored whole.
+documents of SAMPLE_BYTES together, those with the least hash of their id; documents are scored whole.
+
+The labels have two flags, and the categories of CATEGORIES are made of them: text of low quality, toxic text,
+and text that is toxic though it is well written, which needs the other two.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from . import common
 from .decontaminate import SEPARATORS_RAW
 
 #: Bound of the documents that the models are fitted on.
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 MIN_DOCS, FOLDS = 5, 5
 #: Categories in the order of the chain: name -> condition on the columns of ``labels``.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_prose": "toxic = 1 AND quality = 1"}
@@ -138,15 +141,27 @@ def fit(ids: list[int], texts: list[str | None], targets: dict[str, np.ndarray])
     return chain
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = SAMPLE) -> Chain:
-    """Labels of one document are joined by "any of them"; labels without a document or with a null id are left out."""
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """Labels of one document are joined by "any of them"; labels without a document or with a null id are left out before the sample is taken.
+
+    Of rows with one id, the one with the least hash of its text counts.  Null and empty texts are examples without features.
+    """
     categories = categories or CATEGORIES
     flags = [F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(f"c{k}") for k, c in enumerate(categories.values())]
-    chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
-    rows = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    targets = {name: np.array([r[f"c{k}"] for r in rows], float) for k, name in enumerate(categories)}
-    return fit([r["doc_id"] for r in rows], [r["text"] for r in rows], targets)
+    labelled = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags)
+    sizes = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    there = sizes.join(labelled.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("th", "bytes")).alias("d"))
+    least = there.select("doc_id", "d.*").join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
+    fitting = np.cumsum(least.column("bytes").to_numpy()) <= sample_bytes
+    least = least.filter(pa.array(fitting))
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(list(zip(least.column("doc_id").to_pylist(), least.column("th").to_pylist(), strict=True)), "doc_id long, th long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
+    texts = {r["doc_id"]: r["text"] for r in keyed.join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id"]).toLocalIterator()}  # ``sample`` rows at most
+    order = np.argsort(least.column("doc_id").to_numpy(), kind="stable")
+    ids = least.column("doc_id").to_numpy()[order].tolist()
+    targets = {name: least.column(f"c{k}").to_numpy()[order].astype(float) for k, name in enumerate(categories)}
+    return fit(ids, [texts.get(i) for i in ids], targets)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -388,6 +388,38 @@ def test_rollup_is_idempotent(spark, docs, tmp_path):
     assert ledger.totals().count() == 0 and ledger.batches() == ["a", "b"]
 
 
+def test_rollup_takes_revisions_and_recovers(spark, docs, empty, tmp_path):
+    """Nulls, repeated rows, a revision, what a failed commit left, two writers of one batch, and a vocabulary file as a version."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    names = [*rollup.TOKENIZERS, "byte_bpe_50k/1"]
+    count = lambda d: rollup.counted(d).join(rollup.counted_by_file(d, names[-1], path).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("c"), names[-1]).distinct(), F.expr("doc_id <=> id and n_chars = c"))
+    some = docs.where("doc_id is not null and doc_id <> 20")
+    old, new = count(some), count(some.where("doc_id < 30").withColumn("text", F.expr("substr(text, 1, 50)")))
+    ledger, other = (rollup.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    (tmp_path / "ledger" / "batch=a").mkdir(parents=True)  # without its _SUCCESS
+    (tmp_path / "ledger" / "batch=a" / "part-0.parquet").write_bytes(b"half")
+    (tmp_path / "ledger" / "_staged-a-x").mkdir()
+    assert ledger.batches() == [] and ledger.commit("a", rollup.deltas(old, names))
+    assert not other.commit("a", rollup.deltas(old, names))
+    revised = rollup.revisions(old.where("doc_id < 30"), new, names)
+    assert other.commit("b", revised) and not ledger.commit("b", revised)
+    tokenizer = Tokenizer.from_file(path)
+    texts = [t[:50] if t and d < 30 else t or "" for d, t in corpus() if d not in (None, 20)]
+    totals = {r["tokenizer"]: 0 for r in ledger.totals().collect()}
+    for r in ledger.totals().collect():
+        totals[r["tokenizer"]] += r["n_tokens"]
+    assert totals["whitespace/1"] == sum(len(words(t)) for t in texts) != totals["wordpunct/1"]
+    assert totals["byte_bpe_50k/1"] == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert rollup.counted_by_file(empty, "x", path).count() == 0
+    # a writer that looked before the other one's rename
+    seen = iter([False, True, True])
+    other.committed = lambda batch: next(seen)
+    before = sorted(p.name for p in (tmp_path / "ledger").iterdir())
+    assert not other.commit("b", revised) and sorted(p.name for p in (tmp_path / "ledger").iterdir()) == before
+
+
 def test_language(spark, empty):
     rng = random.Random(4)
     stems = {"en": ("the", "ing", "th", "sh"), "fr": ("eau", "ou", "é", "que"), "de": ("sch", "ung", "ei", "ü")}
@@ -407,6 +439,37 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit_field(empty)).collect()} == {"und"}
 
 
+def test_language_model_is_bounded(spark, monkeypatch):
+    """Very many languages are learned with fewer buckets, not refused."""
+    assert langid.buckets_for(4) == langid.BUCKETS and all(langid.buckets_for(k) * k <= langid.WEIGHTS for k in (200, 1000, 50_000))
+    monkeypatch.setattr(langid, "WEIGHTS", 1 << 16)
+    rows = [(i, " ".join(chr(97 + i % 26) * 2 + chr(97 + (i + k) % 3) for k in range(30)), f"l{i % 26}") for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = langid.fit_field(docs)
+    assert field.weights.shape == (2048, 26)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, field).collect()}
+    assert np.mean([found[d] == lang for d, _, lang in rows]) > 0.9
+
+
+def test_language_scores_are_mean_marginals(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("the", "cat", "le", "chat", "der", "hund")) for _ in range(rng.randint(1, 9))), ("en", "fr", "de")[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = langid.fit_field(docs)
+    for r in langid.predict(docs, field).collect():
+        text = rows[r["doc_id"]][1].encode()
+        one = langid.common.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), langid._OUT)
+        e, n, k = field.emissions(one), len(one), len(field.langs)
+        alpha, beta = np.zeros((n, k)), np.zeros((n, k))
+        alpha[0] = e[0]
+        for t in range(1, n):
+            alpha[t] = [e[t, j] + np.logaddexp.reduce(alpha[t - 1] + field.moves[:, j]) for j in range(k)]
+        for t in range(n - 2, -1, -1):
+            beta[t] = [np.logaddexp.reduce(field.moves[i] + e[t + 1] + beta[t + 1]) for i in range(k)]
+        mean = np.exp(alpha + beta - np.logaddexp.reduce(alpha[-1])).mean(0)
+        assert r["lang_pred"] == field.langs[int(mean.argmax())] and r["score"] == pytest.approx(mean.max(), rel=1e-6)
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(6)
     field = langid.Field(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)))
@@ -438,6 +501,33 @@ def test_toxicity(spark, empty):
     assert np.mean([(scored[i] >= 0.5) == (i % 4 == 0) for i in range(200, 400)]) > 0.95
     assert scored[1000] < 0.5 and scored[1001] == scored[1000]
     assert toxicity.score(empty, toxicity.fit_chain(empty, labels)).count() == 0
+    # labels of other documents take no place in the sample, and the sample is bounded in bytes
+    foreign = labels.unionByName(spark.range(10**6, 10**6 + 5000).selectExpr("id as doc_id", "1 as quality", "1 as toxic"))
+    chain = toxicity.fit_chain(docs, foreign, sample=200)
+    again = toxicity.fit_chain(docs, labels, sample=200)
+    assert (chain.known == again.known).all() and all((a == b).all() for a, b in zip(chain.weights, again.weights, strict=True))
+    assert len(toxicity.fit_chain(docs, labels, sample_bytes=1).known) == 0
+
+
+def test_toxicity_score_is_the_chain(spark):
+    """Probabilities word by word from the model's weights."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(("Idiot", "trash", "good", "words", "elephant", "é漢")) for _ in range(rng.randint(0, 12)))) for i in range(120)] + [(500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("good" in t), int("trash" in t)) for i, t in rows[:100]], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels)
+    found = {r["doc_id"]: [r[f"p_{n}"] for n in chain.names] for r in toxicity.score(docs, chain).collect()}
+    place = {int(h): k for k, h in enumerate(chain.known)}
+    for d, t in rows:
+        features = set()
+        for w in (t or "").lower().split():
+            raw = np.frombuffer(w.encode(), np.uint8)
+            one = toxicity.common.Words(raw, np.array([0, len(raw)]), toxicity.SEPARATORS_RAW)
+            features |= {int(h) for h in toxicity.feature_hashes(one)[1]} & place.keys()
+        logits = []
+        for k in range(len(chain.names)):
+            logits.append(sum(chain.weights[k][place[h]] for h in features) + chain.biases[k] + sum(x * v for x, v in zip(logits, chain.earlier[k], strict=False)))
+        assert found[d] == pytest.approx([1 / (1 + math.exp(-x)) for x in logits], rel=1e-6)
 
 
 def test_lm_prefers_its_language(spark, empty):
