@@ -135,7 +135,7 @@ class Words:
 
     def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
         """64-bit hashes of the words; ``fold`` maps bytes first (256 values)."""
-        return span_hashes(BYTE_KEYS[self.data if fold is None else fold[self.data]], self.starts, self.ends)
+        return span_hashes((BYTE_KEYS if fold is None else BYTE_KEYS[fold])[self.data], self.starts, self.ends)
 
 
 # ---------------------------------------------------------------- hashes

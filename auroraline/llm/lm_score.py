@@ -138,25 +138,29 @@ class Network:
         x, h, of_class, member, bounds = self._forward(near, token)
         d_class, d_member = _error(of_class, token // CLASS), _error(member, token % CLASS)
         d_h = d_class @ self.cw.T
-        grads: list[tuple[str, object, np.ndarray]] = [("cw", slice(None), h.T @ d_class), ("cb", slice(None), d_class.sum(0))]
+        one = np.ones((len(token), 1), np.float32)
+        h1 = np.concatenate([h, one], axis=1)  # the last column is for the biases
+        by_class, by_member = h1.T @ d_class, np.zeros((CLASSES, HIDDEN + 1, CLASS), np.float32)
         for c in np.flatnonzero(np.diff(bounds)):
             own = slice(bounds[c], bounds[c + 1])
             d_h[own] += d_member[own] @ self.mw[c].T
-            grads += [("mw", c, h[own].T @ d_member[own]), ("mb", c, d_member[own].sum(0))]
+            np.matmul(h1[own].T, d_member[own], out=by_member[c])
         d_h *= 1 - h * h
-        grads += [("w", slice(None), x.T @ d_h), ("b", slice(None), d_h.sum(0))]
+        grads: list[tuple[str, object, np.ndarray]] = [("cw", slice(None), by_class[:-1]), ("cb", slice(None), by_class[-1]), ("mw", slice(None), by_member[:, :-1]), ("mb", slice(None), by_member[:, -1])]
+        grads += [("w", slice(None), x.T @ d_h), ("b", slice(None), (one.T @ d_h)[0])]
         flat = near.reshape(-1)
         d_x = (d_h @ self.w.T).reshape(-1, DIM)
         by_token = np.argsort(flat.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.diff(flat[by_token], prepend=-1))
         touched = flat[by_token][first]
-        d_v = np.add.reduceat(d_x[by_token], first, axis=0)
+        d_v = np.add.reduceat(np.ascontiguousarray(d_x.T)[:, by_token], first, axis=1).T
         real = touched < SIZE + RARE  # the vector beyond a text's ends stays zero
         grads.append(("vectors", touched[real], d_v[real]))
         for name, where, grad in grads:
             squares, weights = getattr(seen, name), getattr(self, name)
-            squares[where] += grad * grad
-            weights[where] -= RATE * grad / (np.sqrt(squares[where]) + 1e-6)
+            summed = squares[where] + grad * grad
+            squares[where] = summed
+            weights[where] -= RATE * grad / (np.sqrt(summed) + 1e-6)
 
 
 def _chances(logits: np.ndarray) -> np.ndarray:
@@ -288,9 +292,8 @@ def score(docs: DataFrame, words: Words, flat: np.ndarray) -> DataFrame:
                 np.cumsum(np.concatenate(parts) if parts else [], out=sums[1:])
                 # words of the rest, once for each text
                 rest = np.flatnonzero(token == SIZE - 1)
-                rows, words_ = found.rows()[rest], hashes[rest]
-                order = np.lexsort((words_, rows))
-                rows, words_ = rows[order], words_[order]
+                order = rest[np.argsort(hashes[rest], kind="stable")]  # rows ascend among equal words
+                rows, words_ = found.rows()[order], hashes[order]
                 first = np.ones(len(rows), bool)
                 first[1:] = (rows[1:] != rows[:-1]) | (words_[1:] != words_[:-1])
                 begin = np.flatnonzero(first)
@@ -301,11 +304,13 @@ def score(docs: DataFrame, words: Words, flat: np.ndarray) -> DataFrame:
                 share = np.bincount(rows[here], k[here] * np.log(counts[at[here]] - k[here] + PRIOR), j - i)
                 n_rest = np.bincount(rows, k, j - i)
                 share = share - n_rest * np.log(np.maximum(occurrences - n_rest, 0) + PRIOR * max(distinct, 1))
+                far = np.flatnonzero(~here)
+                far = far[np.argsort(rows[far], kind="stable")]
                 total.append(sums[found.first[1:]] - sums[found.first[:-1]] + share)
                 count.append(found.counts)
-                joined.append(words_[~here])
-                times.append(k[~here])
-                n_joined.append(np.bincount(rows[~here], minlength=j - i))
+                joined.append(words_[far])
+                times.append(k[far])
+                n_joined.append(np.bincount(rows[far], minlength=j - i))
             flat_ = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (count, total, joined, times, n_joined)]
             lists = [common.list_array(v, flat_[4], pa.int64()) for v in (flat_[2].view(np.int64), flat_[3].astype(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat_[0].astype(np.int64)), pa.array(flat_[1].astype(np.float64)), *lists], ["row", "doc_id", "n_tokens", "known", "words", "times"])
