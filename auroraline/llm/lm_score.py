@@ -37,7 +37,7 @@ SIDE, DIM, HIDDEN = 2, 16, 32
 CLASSES, CLASS = 64, 64
 SIZE = CLASSES * CLASS
 #: Vectors of words of the rest as neighbours; the last vector of all stands beyond a text's ends.
-RARE = 4096
+RARE = 512
 BATCH, RATE, SEED = 8192, 0.1, 11
 PRIOR = 0.5
 ROUNDS, SHARD_TOKENS = 3, 4_000_000
@@ -114,7 +114,7 @@ class Network:
     def _forward(self, near: np.ndarray, token: np.ndarray):
         """Inputs, hidden values and logits of both layers for tokens in the order of their classes, and the borders of the classes."""
         bounds = np.searchsorted(token // CLASS, np.arange(CLASSES + 1))
-        x = self.vectors[near].reshape(len(near), -1)
+        x = self.vectors.take(near.reshape(-1), axis=0).reshape(len(near), -1)
         h = np.tanh(x @ self.w + self.b)
         member = np.empty((len(near), CLASS), np.float32)
         for c in np.flatnonzero(np.diff(bounds)):
@@ -126,7 +126,7 @@ class Network:
     def log_probability(self, near: np.ndarray, token: np.ndarray) -> np.ndarray:
         order = np.argsort(token // CLASS, kind="stable")
         token = token[order]
-        _, _, of_class, member, _ = self._forward(near[order], token)
+        _, _, of_class, member, _ = self._forward(near.take(order, axis=0), token)
         out = np.empty(len(token), np.float32)
         out[order] = _log_chance(of_class, token // CLASS) + _log_chance(member, token % CLASS)
         return out
@@ -134,7 +134,7 @@ class Network:
     def step(self, near: np.ndarray, token: np.ndarray, seen: Network) -> None:
         """One AdaGrad step; ``seen`` has the sums of squared gradients."""
         order = np.argsort(token // CLASS, kind="stable")
-        near, token = near[order], token[order]
+        near, token = near.take(order, axis=0), token[order]
         x, h, of_class, member, bounds = self._forward(near, token)
         d_class, d_member = _error(of_class, token // CLASS), _error(member, token % CLASS)
         d_h = d_class @ self.cw.T
@@ -153,7 +153,7 @@ class Network:
         by_token = np.argsort(flat.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.diff(flat[by_token], prepend=-1))
         touched = flat[by_token][first]
-        d_v = np.add.reduceat(np.ascontiguousarray(d_x.T)[:, by_token], first, axis=1).T
+        d_v = np.add.reduceat(d_x.take(by_token, axis=0), first, axis=0)
         real = touched < SIZE + RARE  # the vector beyond a text's ends stays zero
         grads.append(("vectors", touched[real], d_v[real]))
         for name, where, grad in grads:
@@ -252,7 +252,7 @@ def train(docs: DataFrame, words: Words) -> np.ndarray:
                     shuffled = np.random.default_rng(len(token)).permutation(len(token))
                     for a in range(0, len(token), BATCH):
                         own = shuffled[a : a + BATCH]
-                        net.step(near[own], token[own], seen)
+                        net.step(near.take(own, axis=0), token[own], seen)
                     n += len(token)
                     continue
                 if n:
