@@ -139,13 +139,13 @@ def lead_targets(spark, sf_dir):
 @query(
     "trailing_median", "event_id", "median_15m running_max",
     f"""x AS (SELECT event_id, user_id % 8 AS g, {SECONDS} AS s, value FROM events WHERE event_type = 'view'),
-res AS (SELECT event_id, median(value) OVER (PARTITION BY g ORDER BY s RANGE BETWEEN 14399 PRECEDING AND CURRENT ROW) AS median_15m, max(value) OVER (PARTITION BY g ORDER BY s RANGE UNBOUNDED PRECEDING) AS running_max FROM x)""",
+res AS (SELECT event_id, median(value) OVER (PARTITION BY g ORDER BY s RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS median_15m, max(value) OVER (PARTITION BY g ORDER BY s RANGE UNBOUNDED PRECEDING) AS running_max FROM x)""",
 )
 def trailing_median(spark, sf_dir):
     """Median over a trailing time range that is open at its start, and the running maximum."""
     rows = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", (F.col("user_id") % 8).alias("g"), since("SECOND").alias("s"), "value")
     o = Window.partitionBy("g").orderBy("s")
-    return rows.select("event_id", F.percentile("value", F.lit(0.5)).over(o.rangeBetween(-14399, 0)).alias("median_15m"), F.max("value").over(o.rangeBetween(Window.unboundedPreceding, 0)).alias("running_max"))
+    return rows.select("event_id", F.percentile("value", F.lit(0.5)).over(o.rangeBetween(-899, 0)).alias("median_15m"), F.max("value").over(o.rangeBetween(Window.unboundedPreceding, 0)).alias("running_max"))
 
 
 _INNOVATION = (1, 2, 3, 4, 6, 9, 12, 18, 24)

@@ -64,6 +64,18 @@ def parse_plasma(rows: DataFrame, column: str = "value") -> DataFrame:
     return parsed.where("time_tag is not null")
 
 
+def parse_mag(rows: DataFrame, column: str = "value") -> DataFrame:
+    """time_tag, bx_gsm, by_gsm, bz and bt of active rows from JSON objects.
+
+    A row needs a time and a southward component in range; other components out of range are null.
+    """
+    j = F.from_json(column, "time_tag string, active string, bx_gsm string, by_gsm string, bz_gsm string, bt string")
+    m = rows.select(j.alias("j")).where(F.col("j").isNotNull() & active(F.col("j.active")))
+    component = lambda name, low=-1e3: number(F.col(f"j.{name}"), low, 1e3)
+    parsed = m.select(time(F.col("j.time_tag")).alias("time_tag"), component("bx_gsm").alias("bx_gsm"), component("by_gsm").alias("by_gsm"), component("bz_gsm").alias("bz"), component("bt", 0).alias("bt"))
+    return parsed.where("time_tag is not null and bz is not null")
+
+
 def parse_dst(rows: DataFrame, column: str = "value") -> DataFrame:
     """time_tag and dst from objects {time_tag, dst} or arrays [time, dst]; headers, sentinels and unreadable rows are left out."""
     array = F.from_json(F.when(F.col(column).startswith("["), F.col(column)), "array<string>")

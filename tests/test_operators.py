@@ -241,3 +241,34 @@ def test_equal_vectors_go_to_the_smallest_ids(spark):
     archive = spark.createDataFrame(rows, "id long, x array<double>").coalesce(1)
     found = nearest_neighbours(archive, archive.where("id = 1000"), "id", "x", 5, 1).orderBy("rank").collect()
     assert [(r["id"], r["distance"]) for r in found] == [(i, 0.5) for i in range(1, 6)]
+
+
+def test_erfc(spark):
+    import math
+
+    from auroraline.functions.special import erfc
+
+    xs = [0.0, 0.3, 1.0, 2.5, 6.0, 20.0]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(erfc(F.col("x"))).collect()]
+    assert found == pytest.approx([math.erfc(x) for x in xs], rel=2e-7)
+
+
+def test_long_series_fold_in_blocks(spark):
+    """A hundred thousand hours of one series against a plain loop."""
+    from auroraline.operators import folds
+
+    rows = spark.range(100_000).selectExpr("0 as series", "id as h", "cast(id % 7 as double) as x")
+    found = folds.scan(rows, ["series"], "h", ["x"], F.lit(1.0), lambda s, r: s * 0.5 + r["x"], "state").orderBy("h").collect()
+    state = 1.0
+    for r in found:
+        assert r["state"] == state
+        state = state * 0.5 + r["h"] % 7
+    assert len(found) == 100_000
+
+
+def test_fold_of_few_rows(spark):
+    from auroraline.operators import folds
+
+    for n in (1, 2, 3, 5):
+        rows = spark.range(n).selectExpr("0 as series", "id as h", "1.0D as x")
+        assert [r["state"] for r in folds.scan(rows, ["series"], "h", ["x"], F.lit(0.0), lambda s, r: s + r["x"], "state").orderBy("h").collect()] == list(range(n))
