@@ -63,13 +63,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     bad, changed = marks.where("quality = 0").select("doc_id"), marks.where("toxic = 1 and quality <> 0").select("doc_id")
-    counts = cut(rollup.counted(docs), "counts")
-    new = rollup.counted(docs.join(changed, "doc_id", "left_semi").withColumn("text", F.expr(REDACTED)))
+    # both texts are counted in one pass, so only counts are joined to labels; a symbol's space keeps n_chars
+    redacted = {f"new {name}": sql.replace("coalesce(text, '')", f"coalesce({REDACTED}, '')") for name, sql in rollup.TOKENIZERS.items()}
+    counts = cut(rollup.counted(docs, rollup.TOKENIZERS | redacted), "counts")
+    new = counts.select("doc_id", "source", "lang", "n_chars", *[F.col(f"`new {name}`").alias(name) for name in names])
+    counts = counts.drop(*redacted)
     ledger = rollup.Ledger(spark, scratch_path(spark, "ledger"))
     batches = {
         "inserts": rollup.deltas(counts, names),
         "deletes": rollup.deltas(counts.join(bad, "doc_id", "left_semi"), names, -1),
-        "revisions": rollup.revisions(counts.join(changed, "doc_id", "left_semi"), new, names),
+        "revisions": rollup.revisions(*[c.join(changed, "doc_id", "left_semi") for c in (counts, new)], names),
     }
     for name in [*batches, *batches]:
         ledger.commit(name, batches[name])
