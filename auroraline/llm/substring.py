@@ -279,10 +279,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     common.release(several)
     verdicts = common.cut(_judge(shards, span, min(K, span)), "verdicts")
     common.release(shards)
-    known = firsts.select("m", "seg", F.col("did").alias("least")).join(verdicts.hint("merge"), ["m", "seg"], "left")
+    known = common.cut(firsts.select("m", "seg", F.col("did").alias("least")).join(verdicts.hint("merge"), ["m", "seg"], "left"), "known")
     spans = _late(candidates, known, "did").groupBy("did", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     spans = common.cut(spans, "spans")
-    common.release(candidates, firsts, verdicts)
+    common.release(candidates, firsts, verdicts, known)
     return spans
 
 
