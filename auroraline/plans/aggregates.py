@@ -226,18 +226,30 @@ def cadence(spark, sf_dir):
     return rows.select("event_type", d.alias("d")).groupBy("event_type").agg(F.count("d").alias("n_gaps"), F.median("d").alias("median_seconds"))
 
 
+_STORMS = """s AS (SELECT l_suppkey AS storm, sqrt(avg(l_discount * l_discount)) - sqrt(avg(l_tax * l_tax)) AS d FROM lineitem GROUP BY 1), n AS (SELECT storm, d, row_number() OVER (ORDER BY storm) - 1 AS i, count(*) OVER () AS n FROM s),
+p AS (SELECT draw, slot, ((draw * 7919 + slot * 104729 + (draw * slot) % 613) * 31 + 17) % n AS pick FROM range(10000) a(draw), (SELECT i AS slot, n FROM n)),
+res AS (SELECT draw, count(*) AS n_storms, median(d) AS median_difference FROM p JOIN n ON n.i = p.pick GROUP BY draw)"""
+
+_BLOCKS = f"""{LOG}, b AS (SELECT issue_h // 168 AS block, sum((obs - burton) ** 2) AS a, sum((obs - persistence) ** 2) AS p, count(*) AS m FROM log WHERE obs IS NOT NULL AND step = 1 GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM b),
+p AS (SELECT draw, ((draw * 7919 + slot * 104729 + (draw * slot) % 613) * 31 + 17) % n AS pick FROM range(10000) t(draw), (SELECT i AS slot, n FROM n)),
+res AS (SELECT draw, sqrt(sum(n.p) / sum(m)) - sqrt(sum(a) / sum(m)) AS gain FROM p JOIN n ON n.i = p.pick GROUP BY draw)"""
+
+
+def _interval_sql(draws: str, gain: str) -> str:
+    return f"""{draws.replace("res AS", "drawn AS")},
+res AS (SELECT count(*) AS draws, quantile_cont({gain}, 0.5) AS median, quantile_cont({gain}, 0.025) AS low, quantile_cont({gain}, 0.975) AS high, (count(*) FILTER (WHERE {gain} <= 0) + 1) / (count(*) + 1) AS p FROM drawn)"""
+
+
 @query(
     "storm_bootstrap", "draw n_storms", "median_difference",
-    """s AS (SELECT l_suppkey AS storm, sqrt(avg(l_discount * l_discount)) - sqrt(avg(l_tax * l_tax)) AS d FROM lineitem GROUP BY 1), n AS (SELECT storm, d, row_number() OVER (ORDER BY storm) - 1 AS i, count(*) OVER () AS n FROM s),
-p AS (SELECT draw, slot, ((draw * 7919 + slot * 104729 + (draw * slot) % 613) * 31 + 17) % n AS pick FROM range(200) a(draw), (SELECT i AS slot, n FROM n)),
-res AS (SELECT draw, count(*) AS n_storms, median(d) AS median_difference FROM p JOIN n ON n.i = p.pick GROUP BY draw)""",
+    _STORMS,
 )
 def storm_bootstrap(spark, sf_dir):
     """Medians of paired differences over whole storms drawn again; draws come from a formula, so they can be repeated."""
-    return _storm_draws(spark, sf_dir, 200)
+    return _storm_draws(spark, sf_dir, 10_000)
 
 
-@query("storm_bootstrap_interval", "draws", "median low high p")
+@query("storm_bootstrap_interval", "draws", "median low high p", _interval_sql(_STORMS, "median_difference"))
 def storm_bootstrap_interval(spark, sf_dir):
     return interval(_storm_draws(spark, sf_dir, 10_000), "median_difference")
 
@@ -250,16 +262,14 @@ def _storm_draws(spark, sf_dir, draws):
 
 @query(
     "block_bootstrap", "draw", "gain",
-    f"""{LOG}, b AS (SELECT issue_h // 168 AS block, sum((obs - burton) ** 2) AS a, sum((obs - persistence) ** 2) AS p, count(*) AS m FROM log WHERE obs IS NOT NULL AND step = 1 GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM b),
-p AS (SELECT draw, ((draw * 7919 + slot * 104729 + (draw * slot) % 613) * 31 + 17) % n AS pick FROM range(200) t(draw), (SELECT i AS slot, n FROM n)),
-res AS (SELECT draw, sqrt(sum(n.p) / sum(m)) - sqrt(sum(a) / sum(m)) AS gain FROM p JOIN n ON n.i = p.pick GROUP BY draw)""",
+    _BLOCKS,
 )
 def block_gain(spark, sf_dir):
     """RMSE gain over persistence in week-long blocks drawn again."""
-    return _block_draws(spark, sf_dir, 200)
+    return _block_draws(spark, sf_dir, 10_000)
 
 
-@query("block_bootstrap_interval", "draws", "median low high p")
+@query("block_bootstrap_interval", "draws", "median low high p", _interval_sql(_BLOCKS, "gain"))
 def block_bootstrap_interval(spark, sf_dir):
     return interval(_block_draws(spark, sf_dir, 10_000), "gain")
 

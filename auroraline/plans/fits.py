@@ -214,26 +214,16 @@ def least_squares_rate(spark, sf_dir):
 
 @query(
     "rolling_folds", "fold part n_rows", "",
-    f"""{LOG}, f AS (SELECT unnest([3, 6, 9]) AS fold), res AS (SELECT fold, CASE WHEN issue_h >= fold * 72 AND issue_h < (fold + 1) * 72 THEN 'query' ELSE 'train' END AS part, count(*) AS n_rows FROM log, f WHERE (issue_h >= fold * 72 AND issue_h < (fold + 1) * 72) OR target_h < fold * 72 - 24 GROUP BY ALL)""",
+    f"""{LOG}, f AS (SELECT fold FROM (SELECT max(issue_h) // 72 AS last FROM log), range(10000) t(fold) WHERE fold <= last), res AS (SELECT fold, CASE WHEN issue_h >= fold * 72 AND issue_h < (fold + 1) * 72 THEN 'query' ELSE 'train' END AS part, count(*) AS n_rows FROM log, f WHERE (issue_h >= fold * 72 AND issue_h < (fold + 1) * 72) OR target_h < fold * 72 - 168 GROUP BY ALL)""",
 )
 def rolling_folds(spark, sf_dir):
-    return _folds(log(spark, sf_dir), F.array(*[F.lit(k) for k in (3, 6, 9)]), 24)
-
-
-@query("rolling_folds_all", "fold part n_rows")
-def rolling_folds_all(spark, sf_dir):
-    """Every block of the log is scored, with the embargo of 168 hours."""
-    rows = log(spark, sf_dir)
-    last = rows.agg(F.floor(F.max("issue_h") / 72)).first()[0] or 0
-    return _folds(rows, F.sequence(F.lit(0), F.lit(int(last))), 168)
-
-
-def _folds(rows, folds, embargo):
-    """Expanding training sets whose targets end an embargo before the fold's first hour."""
-    rows = rows.withColumn("fold", F.explode(folds))
-    start = F.col("fold") * 72
-    inside = (F.col("issue_h") >= start) & (F.col("issue_h") < start + 72)
-    part = F.when(inside, "query").when(F.col("target_h") < start - embargo, "train")
-    return rows.withColumn("part", part).where("part is not null").groupBy("fold", "part").agg(F.count("*").alias("n_rows"))
-
-
+    """Every block is scored; a fold's training rows have targets that end 168 hours before its first hour.
+
+    Rows are counted by block and hour of target first, so that only counts meet the folds.
+    """
+    rows = log(spark, sf_dir).groupBy(F.floor(F.col("issue_h") / 72).alias("fold"), F.floor((F.col("target_h") + 168) / 72).alias("after")).agg(F.count("*").alias("n_rows"))
+    last = rows.agg(F.max("fold")).first()[0]
+    query_rows = rows.groupBy("fold").agg(F.sum("n_rows").alias("n_rows")).select("fold", F.lit("query").alias("part"), "n_rows")
+    later = F.explode(F.sequence(F.col("after") + 1, F.lit(last))).alias("fold")
+    train = rows.where(F.col("after") < F.lit(last)).groupBy("after").agg(F.sum("n_rows").alias("n")).select(later, "n").groupBy("fold").agg(F.sum("n").alias("n_rows")).select("fold", F.lit("train").alias("part"), "n_rows")
+    return query_rows.unionByName(train)

@@ -77,36 +77,25 @@ def driver_memory(spark, sf_dir):
     return folds.memory(rows, KEYS, "h", "x", 6.0, "memory")
 
 
-_DRAWS = 20
+_MEMBERS = 500
 
 
 @query(
     "ensemble_rollout", "series h step", "point median p05 p95",
-    f"""RECURSIVE {CLEAN}, d AS (SELECT draw, 5.4e-3 * (0.8 + 0.02 * draw) AS alpha, 7.7 * (1.2 - 0.02 * draw) AS tau FROM range({_DRAWS}) t(draw)),
-o AS (SELECT series, h, v, bs, dst_star FROM clean WHERE quality = 1 AND h % 6 = 0),
+    f"""RECURSIVE {CLEAN}, d AS (SELECT draw, 5.4e-3 * (0.8 + 0.0008 * draw) AS alpha, 7.7 * (1.2 - 0.0008 * draw) AS tau FROM range({_MEMBERS}) t(draw)),
+o AS (SELECT series, h, v, bs, dst_star FROM clean WHERE quality = 1),
 sim AS (SELECT series, h, draw, 0 AS step, dst_star AS s, v, bs, alpha, tau FROM o, d UNION ALL SELECT series, h, draw, step + 1, least(greatest(s + least(greatest(-alpha * v * bs - s / tau, -200.0), 200.0), -2000.0), 50.0), v, bs, alpha, tau FROM sim WHERE step < 6),
 k AS (SELECT *, row_number() OVER (PARTITION BY series, h, step ORDER BY s) AS i FROM sim WHERE step > 0),
-res AS (SELECT series, h, step, max(CASE WHEN draw = 10 THEN s END) AS point, max(CASE WHEN i = 10 THEN s END) AS median, max(CASE WHEN i = 1 THEN s END) AS p05, max(CASE WHEN i = 19 THEN s END) AS p95 FROM k GROUP BY ALL)""",
+res AS (SELECT series, h, step, max(CASE WHEN draw = 250 THEN s END) AS point, max(CASE WHEN i = 250 THEN s END) AS median, max(CASE WHEN i = 25 THEN s END) AS p05, max(CASE WHEN i = 475 THEN s END) AS p95 FROM k GROUP BY ALL)""",
 )
 def ensemble_rollout(spark, sf_dir):
-    return _ensemble(clean(spark, sf_dir).where("h % 6 = 0"))
-
-
-@query("ensemble_rollout_all_hours", "series h step", "point median p05 p95")
-def ensemble_rollout_all_hours(spark, sf_dir):
-    """500 members, over the range that the SQL's 20 have."""
-    return _ensemble(clean(spark, sf_dir), 500)
-
-
-def _ensemble(rows, n=_DRAWS):
-    """Six hours ahead for each draw of the coefficients, and the ranks of the draws at each step."""
-    place = F.col("draw") * (_DRAWS / n)
-    origins = rows.where("quality = 1").select("series", "h", "v", "bs", "dst_star")
-    members = origins.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("d", F.struct((5.4e-3 * (0.8 + 0.02 * place)).alias("alpha"), (7.7 * (1.2 - 0.02 * place)).alias("tau")))
+    """Six hours ahead from every valid hour for each member's coefficients, and the ranks of the members at each step."""
+    origins = clean(spark, sf_dir).where("quality = 1").select("series", "h", "v", "bs", "dst_star")
+    members = origins.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(_MEMBERS - 1)))).withColumn("d", F.struct((5.4e-3 * (0.8 + 0.0008 * F.col("draw"))).alias("alpha"), (7.7 * (1.2 - 0.0008 * F.col("draw"))).alias("tau")))
     path = folds.rollout(F.col("dst_star"), F.col("v"), F.col("bs"), F.lit(6), lambda v, bs, s: -F.col("d.alpha") * v * bs - s / F.col("d.tau"))
     steps = members.select("series", "h", "draw", F.posexplode(path).alias("k", "s"))
-    grouped = steps.groupBy("series", "h", (F.col("k") + 1).alias("step")).agg(F.max(F.when(F.col("draw") == n // 2, F.col("s"))).alias("point"), F.sort_array(F.collect_list("s")).alias("all"))
-    at = lambda q: F.get("all", F.lit(int(np.ceil(q * n)) - 1))
+    grouped = steps.groupBy("series", "h", (F.col("k") + 1).alias("step")).agg(F.max(F.when(F.col("draw") == _MEMBERS // 2, F.col("s"))).alias("point"), F.sort_array(F.collect_list("s")).alias("all"))
+    at = lambda q: F.get("all", F.lit(int(np.ceil(q * _MEMBERS)) - 1))
     return grouped.select("series", "h", "step", "point", at(0.5).alias("median"), at(0.05).alias("p05"), at(0.95).alias("p95"))
 
 

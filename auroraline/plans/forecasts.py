@@ -36,22 +36,13 @@ def simulate_coupled(spark, sf_dir):
 
 @query(
     "affine_trajectory", "series h step", "exact euler",
-    f"""{CLEAN}, o AS (SELECT series, h, dst_star AS s, -5.4e-3 * v * bs AS q FROM clean WHERE quality = 1 AND h % 12 = 0), ex AS (SELECT series, h, s, q, unnest([1, 2, 3, 6]) AS step FROM o),
+    f"""{CLEAN}, o AS (SELECT series, h, dst_star AS s, -5.4e-3 * v * bs AS q FROM clean WHERE quality = 1), ex AS (SELECT series, h, s, q, unnest([1, 2, 3, 6]) AS step FROM o),
 res AS (SELECT series, h, step, 7.7 * q + (s - 7.7 * q) * exp(-step / 7.7) AS exact, 7.7 * q + (s - 7.7 * q) * pow(1 - 1 / 7.7, step) AS euler FROM ex)""",
 )
 def affine_trajectory(spark, sf_dir):
-    return _affine(clean(spark, sf_dir).where("h % 12 = 0"))
-
-
-@query("affine_trajectory_all_hours", "series h step", "exact euler")
-def affine_trajectory_all_hours(spark, sf_dir):
-    return _affine(clean(spark, sf_dir))
-
-
-def _affine(origins):
-    """The exact solution of the linear model under constant drive, beside its Euler steps."""
+    """The exact solution of the linear model under constant drive, beside its Euler steps, from every valid hour."""
     s, q = F.col("dst_star"), -5.4e-3 * F.col("v") * F.col("bs")
-    rows = origins.where("quality = 1").select("series", "h", s.alias("s"), q.alias("q"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 6)])).alias("step"))
+    rows = clean(spark, sf_dir).where("quality = 1").select("series", "h", s.alias("s"), q.alias("q"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 6)])).alias("step"))
     rest = lambda decay: 7.7 * F.col("q") + (F.col("s") - 7.7 * F.col("q")) * decay
     return rows.select("series", "h", "step", rest(F.exp(-F.col("step") / 7.7)).alias("exact"), rest(F.pow(F.lit(1 - 1 / 7.7), F.col("step"))).alias("euler"))
 
@@ -178,22 +169,13 @@ RHO = math.exp(-1 / 6)
 
 @query(
     "history_rollout", "series h step", "state memory",
-    f"""RECURSIVE {CLEAN}, o AS (SELECT series, h, dst_star AS s, 1e-3 * v * bs AS e FROM clean WHERE quality = 1 AND h % 24 = 0),
+    f"""RECURSIVE {CLEAN}, o AS (SELECT series, h, dst_star AS s, 1e-3 * v * bs AS e FROM clean WHERE quality = 1),
 sim AS (SELECT series, h, 0 AS step, s AS state, e AS memory, e FROM o UNION ALL SELECT series, h, step + 1, least(greatest(state + least(greatest(-0.1 * state - 3.0 * memory - 1.0 * (e - memory), -200.0), 200.0), -2000.0), 50.0), exp(-1 / 6.0) * memory + (1 - exp(-1 / 6.0)) * e, e * 0.9 FROM sim WHERE step < 6),
 res AS (SELECT series, h, step, state, memory FROM sim)""",
 )
 def history_rollout(spark, sf_dir):
-    return _history(clean(spark, sf_dir).where("h % 24 = 0"))
-
-
-@query("history_rollout_all_hours", "series h step", "state memory")
-def history_rollout_all_hours(spark, sf_dir):
-    return _history(clean(spark, sf_dir))
-
-
-def _history(origins):
-    """State and memory of the coupling run forward together, under a drive that fades."""
-    rows = origins.where("quality = 1").select("series", "h", F.col("dst_star").alias("s"), (1e-3 * F.col("v") * F.col("bs")).alias("e"))
+    """State and memory of the coupling run forward together from every valid hour, under a drive that fades."""
+    rows = clean(spark, sf_dir).where("quality = 1").select("series", "h", F.col("dst_star").alias("s"), (1e-3 * F.col("v") * F.col("bs")).alias("e"))
     kind = "array<struct<s:double,m:double,e:double>>"
 
     def step(acc, k):
