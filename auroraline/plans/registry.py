@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("physics", "windows", "joins", "aggregates", "folds", "fits", "sources", "serving", "forecasts", "arrivals", "streams", "realtime", "validation")
+MODULES = ("physics", "windows", "joins", "aggregates", "folds", "fits", "sources", "serving", "forecasts", "arrivals", "streams", "realtime", "validation", "archives")
 
 
 def _load() -> None:

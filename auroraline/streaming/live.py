@@ -13,6 +13,10 @@ from ..operators.adaptive import Stream
 from ..operators.scratch import folder
 
 
+#: A time after all others, in seconds since 1970: the year 2200.
+_FAR = 7_258_118_400
+
+
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream, be it one file or a folder of them; event time is a timestamp, which watermarks need."""
     schema = spark.read.parquet(path).schema
@@ -67,6 +71,39 @@ def late_truth(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
     return f.join(t, (f.g == t.g2) & (f.target == t.seen))
 
 
+def with_late_truth(forecasts: DataFrame, truth: DataFrame, keys: list[str], truth_keys: list[str]) -> DataFrame:
+    """Every forecast once: joined to the observation of its ``target`` hour, or to none once the watermark has passed it.
+
+    Both tables are written as files and streamed.  When all are read, one row a side far ahead of them closes the day
+    for which either side waits, so the forecasts still pending come out without a truth; those two rows are left out.
+    Keys are numbers or strings.
+    """
+    spark = forecasts.sparkSession
+    paths = [folder(spark, "forecasts"), folder(spark, "truths")]
+    for rows, path in zip((forecasts, truth), paths, strict=True):
+        rows.write.parquet(path)
+    left, right = (spark.readStream.schema(rows.schema).parquet(path) for rows, path in zip((forecasts, truth), paths, strict=True))
+    same = [F.col(a) == F.col(b) for a, b in zip(keys, truth_keys, strict=True)]
+    f, t = left.withWatermark("target", "1 day"), right.withWatermark("seen", "1 day")
+    joined = f.join(t, [*same, F.col("target") == F.col("seen")], "left_outer")
+    out = folder(spark, "truth")
+
+    def run() -> None:
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+        joined.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    for rows, path, at, own in ((forecasts, paths[0], "target", keys), (truth, paths[1], "seen", truth_keys)):
+        # keys that are null are filtered before they reach the watermark
+        given = {at: F.timestamp_seconds(F.lit(_FAR)), **dict.fromkeys(own, F.lit("0"))}
+        spark.range(1).select(*[given.get(n, F.lit(None)).cast(k).alias(n) for n, k in rows.dtypes]).write.mode("append").parquet(path)
+    run()
+    found = spark.read.schema(joined.schema).parquet(f"{out}/data")
+    return found.where(F.col("target") < F.timestamp_seconds(F.lit(_FAR)))
+
+
 def _kept(columns: list[str], rows: pd.DataFrame) -> list[tuple]:
     return list(rows[columns].itertuples(index=False, name=None))
 
