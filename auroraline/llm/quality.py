@@ -146,9 +146,9 @@ def cutoffs(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
     walks = common.cut(walks, "walks")
     level = delta / max(1, walks.select("stratum").distinct().count() * len(RULES))
     grid = F.create_map(*[x for r in RULES for x in (F.lit(r), F.array(*[F.lit(c) for c in RULES[r][1]]))])
-    steps = walks.select("stratum", "rule", "n", "by", F.posexplode(grid[F.col("rule")]).alias("step", "cutoff"))
-    # documents lost at step s are those above more than s cutoffs
-    lost = F.aggregate(F.map_entries("by"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("step"), e["value"]).otherwise(0))
+    steps = walks.select("stratum", "rule", "n", "by", F.size(grid[F.col("rule")]).alias("n_steps"), F.posexplode(grid[F.col("rule")]).alias("step", "cutoff"))
+    # cutoffs fall, so a score above that of step s is above all later ones too: documents lost there are above n_steps - s or more
+    lost = F.aggregate(F.map_entries("by"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] >= F.col("n_steps") - F.col("step"), e["value"]).otherwise(0))
     tested = steps.select("stratum", "rule", "step", "cutoff", binomial_tail(F.col("n"), lost, alpha / len(RULES)).alias("p"))
     passed = tested.groupBy("stratum", "rule").agg(
         F.min(F.when(F.col("p") > level, F.col("step"))).alias("stop"),

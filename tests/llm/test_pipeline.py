@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auroraline.llm import queries
+from auroraline.llm import quality, queries
 from auroraline.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -21,10 +23,56 @@ def low(text):
     return text.translate({i: i + 32 for i in range(65, 91)})
 
 
+def counts(text):
+    """Scores of the controlled rules, and if the base rules fail, counted plainly."""
+    w = WORD.findall(text or "")
+    n = len(w)
+    windows = [tuple(w[i : i + 3]) for i in range(n - 2)]
+    times = Counter(windows)
+    repeated = {i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    sums = {"symbols": sum(c in "#*$%&|<>" for c in text or ""), "repeats": len(repeated), "dup_lines": len(lines) - len(set(lines)), "word_chars": sum(map(len, w))}
+    return {r: x / n if n else 0.0 for r, x in sums.items()}, n < 50 or 100 * len(repeated) > 50 * n
+
+
+def plain_quality(sf):
+    """doc_ids that the quality rules keep, and the cutoffs by stratum and rule: exact sums, one walk after the other."""
+    connection = duckdb.connect()
+    docs = connection.sql(f"SELECT doc_id, text, coalesce(lang, '') FROM '{sf}/documents.parquet'").fetchall()
+    good = {d for (d,) in connection.sql(f"SELECT doc_id FROM '{sf}/labels.parquet' GROUP BY doc_id HAVING min(quality) = 1").fetchall()}
+    judged = [(d, lang, *counts(t)) for d, t, lang in docs]
+    held = {}
+    for d, lang, scores, failed in judged:
+        if not failed and d in good:
+            held.setdefault(lang, []).append(scores)
+    level, risk, found = quality.DELTA / max(1, len(held) * len(quality.RULES)), quality.ALPHA / len(quality.RULES), {}
+    for lang, rows in held.items():
+        n = len(rows)
+        for rule, (_, grid) in quality.RULES.items():
+            for cutoff in grid:
+                lost = sum(x[rule] > cutoff for x in rows)
+                p = math.fsum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(lost + 1)) if lost < n * risk else 1.0
+                if p > level:
+                    break
+                found[lang, rule] = cutoff
+    kept = {d for d, lang, scores, failed in judged if not failed and not any(scores[r] > found.get((lang, r), math.inf) for r in scores)}
+    return kept, found
+
+
+def test_quality_rules(spark):
+    """The rules' cutoffs and what they keep, on tables that are large enough for cutoffs to be reached."""
+    sf = "/root/testdata/sf0.1"
+    kept, found = plain_quality(sf)
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    feats = quality.features(docs)
+    assert {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(feats, labels).collect()} == found and found
+    assert {r["doc_id"] for r in quality.keep_documents(docs, labels).select("doc_id").collect()} == kept
+
+
 def test_pipeline(spark):
     connection = duckdb.connect()
     docs = dict(connection.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall())
-    kept = {r["doc_id"] for r in queries.op7_quality_rules(spark, SF).where("kept").collect()}
+    kept, _ = plain_quality(SF)
     docs = {d: t for d, t in docs.items() if d in kept}
     sets = {}
     for d, t in docs.items():
