@@ -19,13 +19,27 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, time:
     return left.join(best, id_, "left").select(*left.columns, F.col("_m._t").alias(f"r_{time}"), *[F.col(f"_m.{c}").alias(c) for c in r.columns if c.startswith("r_")])
 
 
-def backward_forward(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """For each row of ``left`` the last value of ``right`` at or before it and the first one at or after it: one union and one sort."""
-    both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast("double")}).unionByName(right.select(*keys, time, F.lit(0).alias("_side"), F.col(value).cast("double").alias("_v")), allowMissingColumns=True)
-    # at one time, rows of the right come before those of the left when looking back, and after them when looking ahead
-    back = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(time, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumns({"back": F.last("_v", True).over(back), "ahead": F.first("_v", True).over(ahead)}).where("_side = 1").drop("_side", "_v")
+def backward_forward(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, width: int = 3600) -> DataFrame:
+    """For each row of ``left`` the last value of ``right`` at or before it and the first one at or after it.
+
+    Time is cut into slots of ``width``; windows stay inside a slot, and the value from another slot
+    comes from a table with a row for each slot, so tasks do not grow with the length of a series.
+    A row without a key or a time matches nothing; a null value is a value.
+    """
+    known = right.dropna(subset=[*keys, time]).select(*keys, time, F.lit(0).alias("_side"), F.struct(F.col(value).cast("double").alias("x")).alias("_v"))
+    both = left.withColumn("_side", F.lit(1)).unionByName(known, allowMissingColumns=True).withColumn("_slot", F.floor(F.col(time) / width))
+    at = F.when(F.col("_side") == 0, F.col(time))
+    ends = both.groupBy(*keys, "_slot").agg(F.min_by("_v", at).alias("_first"), F.max_by("_v", at).alias("_last"))
+    # both windows start at their first row: a frame that reaches to the last one is read anew for every row
+    w = Window.partitionBy(*keys)
+    slots = ends.select(
+        *keys, "_slot", F.last("_last", True).over(w.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_first", True).over(w.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after")
+    )
+    # at one time, rows of the right come before those of the left
+    w = Window.partitionBy(*keys, "_slot")
+    back, ahead = (F.last("_v", True).over(w.orderBy(o, "_side").rowsBetween(Window.unboundedPreceding, 0)) for o in (time, F.desc(time)))
+    found = both.join(slots, [*keys, "_slot"], "left").withColumns({"back": F.coalesce(back, "_before")["x"], "ahead": F.coalesce(ahead, "_after")["x"]})
+    return found.where("_side = 1").select(*left.columns, "back", "ahead")
 
 
 def in_intervals(rows: DataFrame, spans: DataFrame, keys: list[str], time: str, first: str = "first", last: str = "last") -> DataFrame:

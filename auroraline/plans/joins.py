@@ -63,7 +63,7 @@ res AS (SELECT a.event_id, p.value AS back, q.value AS ahead FROM a ASOF LEFT JO
 )
 def speed_around(spark, sf_dir):
     """The speed before and after each field sample."""
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 16).alias("g"), since("SECOND").alias("s"), "value")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 16).alias("g"), F.floor(since("MICROSECOND") / 1_000_000).alias("s"), "value")
     speeds = rows.where("event_type = 'view'").groupBy("g", "s").agg(F.max("value").alias("value"))
     return asof.backward_forward(rows.where("event_type = 'click'").select("event_id", "g", "s"), speeds, ["g"], "s", "value")
 

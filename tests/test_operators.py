@@ -272,3 +272,19 @@ def test_fold_of_few_rows(spark):
     for n in (1, 2, 3, 5):
         rows = spark.range(n).selectExpr("0 as series", "id as h", "1.0D as x")
         assert [r["state"] for r in folds.scan(rows, ["series"], "h", ["x"], F.lit(0.0), lambda s, r: s + r["x"], "state").orderBy("h").collect()] == list(range(n))
+
+
+def test_backward_forward_over_slots(spark):
+    """Many slots against a plain search; no frame is read anew for every row."""
+    rng = np.random.default_rng(6)
+    ours = [(i, None if i % 50 == 0 else int(g), None if i % 70 == 0 else int(t)) for i, (g, t) in enumerate(zip(rng.integers(0, 3, 1500), rng.integers(-3000, 3000, 1500), strict=True))]
+    theirs = {(int(g), int(t)): None if v < 0.2 else float(v) for g, t, v in zip(rng.integers(0, 2, 200), rng.integers(-2000, 2500, 200), rng.random(200), strict=True)}
+    left = spark.createDataFrame(ours, "id long, g long, t long")
+    right = spark.createDataFrame([(*k, v) for k, v in theirs.items()] + [(None, 5, 5.0), (0, None, 6.0)], "g long, t long, v double")
+    found = asof.backward_forward(left, right, ["g"], "t", "v", 100)
+    got = {r["id"]: (r["back"], r["ahead"]) for r in found.collect()}
+    for i, g, t in ours:
+        times = [] if t is None else sorted(x for k, x in theirs if k == g)
+        want = next((theirs[g, x] for x in reversed(times) if x <= t), None), next((theirs[g, x] for x in times if x >= t), None)
+        assert got.pop(i) == want
+    assert not got and "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()

@@ -86,3 +86,25 @@ def test_events_outside_the_month_have_hours(spark, tmp_path):
     spark.sql(" union all ".join(rows.format(t) for t in ("2023-12-31 22:30:00", "2024-02-02 01:30:00"))).write.parquet(f"{tmp_path}/events.parquet")
     found = frame(spark, str(tmp_path))
     assert [r["h"] for r in found.where("v is not null").orderBy("h").collect()] == [-2, 769] and found.count() == 2 * 772
+
+
+def odd_rows(spark, folder, name, events):
+    """Rows of a query and of its SQL on a table of (event_id, ts, user_id, event_type, value), as texts."""
+    values = ", ".join(f"({i}, timestamp_ntz'{ts}', {u}, '{kind}', cast({v} as double))" if ts else f"({i}, cast(null as timestamp_ntz), {u}, '{kind}', cast({v} as double))" for i, ts, u, kind, v in events)
+    spark.sql(f"select cast(event_id as bigint) event_id, ts, cast(user_id as bigint) user_id, event_type, value from values {values} as t(event_id, ts, user_id, event_type, value)").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    result = connection.sql(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, str(folder)).select(*[c[0] for c in result.description])
+    return sorted(str(tuple(r)) for r in df.collect()), sorted(map(str, result.fetchall()))
+
+
+def test_speed_around_of_odd_events(spark, tmp_path):
+    """A null value is a match, rows without a user or a time match nothing, and seconds before the first hour are floored."""
+    events = [
+        (1, "2024-01-01 00:00:05", 3, "view", 10.0), (2, "2024-01-01 00:00:09", 3, "view", "null"), (3, "2024-01-01 00:00:10", 3, "click", 1.0), (4, "2024-01-01 00:00:07", 3, "click", 1.0),
+        (5, "2024-01-01 00:00:08", "null", "click", 1.0), (6, "2024-01-01 00:00:08", "null", "view", 20.0), (7, None, 3, "click", 1.0), (8, None, 3, "view", 30.0),
+        (9, "2023-12-31 23:59:58.5", 3, "view", 40.0), (10, "2023-12-31 23:59:59.5", 3, "click", 1.0), (11, "2024-01-01 00:00:00.2", 3, "view", 50.0), (12, "2024-03-01 00:00:00", 3, "click", 1.0), (13, "2024-02-01 00:00:00", -3, "click", 1.0), (14, "2024-02-02 00:00:00", -3, "view", 60.0),
+    ]
+    found, want = odd_rows(spark, tmp_path, "speed_around", events)
+    assert found == want and len(want) == 7
