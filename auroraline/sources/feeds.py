@@ -45,9 +45,9 @@ def active(flag: Column) -> Column:
     return F.coalesce(F.when(s.isin("true", "1", "t", "yes"), True).when(s.isin("false", "0", "f", "no"), False), s.try_cast("double") != 0, F.lit(True))
 
 
-def number(text: Column, low: float, high: float) -> Column:
+def number(text: Column, low: float, high: float | None) -> Column:
     x = text.try_cast("double")
-    return F.when(x.between(low, high), x)
+    return F.when((x >= low) if high is None else x.between(low, high), x)
 
 
 def time(text: Column) -> Column:
@@ -56,12 +56,15 @@ def time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(base, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(base, F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
-def parse_plasma(rows: DataFrame, column: str = "value") -> DataFrame:
-    """time_tag, v, n, t of active rows from JSON objects; readings out of range are null."""
+def parse_plasma(rows: DataFrame, column: str = "value", densest: float | None = 500, timed: bool = True) -> DataFrame:
+    """time_tag, v, n, t of active rows from JSON objects; readings out of range are null.
+
+    ``densest``: the largest density in range, None for no limit.  ``timed``: leave out rows without a time.
+    """
     j = F.from_json(column, "time_tag string, active string, proton_speed string, proton_density string, proton_temperature string")
     p = rows.select(j.alias("j")).where(F.col("j").isNotNull() & active(F.col("j.active")))
-    parsed = p.select(time(F.col("j.time_tag")).alias("time_tag"), number(F.col("j.proton_speed"), 100, 3000).alias("v"), number(F.col("j.proton_density"), 0, 500).alias("n"), number(F.col("j.proton_temperature"), 0, 1e8).alias("t"))
-    return parsed.where("time_tag is not null")
+    parsed = p.select(time(F.col("j.time_tag")).alias("time_tag"), number(F.col("j.proton_speed"), 100, 3000).alias("v"), number(F.col("j.proton_density"), 0, densest).alias("n"), number(F.col("j.proton_temperature"), 0, 1e8).alias("t"))
+    return parsed.where("time_tag is not null") if timed else parsed
 
 
 def parse_mag(rows: DataFrame, column: str = "value") -> DataFrame:

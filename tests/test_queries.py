@@ -108,3 +108,17 @@ def test_speed_around_of_odd_events(spark, tmp_path):
     ]
     found, want = odd_rows(spark, tmp_path, "speed_around", events)
     assert found == want and len(want) == 7
+
+
+def test_plasma_scan_of_dense_wind(spark, tmp_path):
+    events = [(i, "2024-02-10 12:00:00.7", 1, "view", v) for i, v in ((0, 501.0), (1, 501.01), (2, 600.0), (4, 900.5), (5, 25000.0), (6, 20.0))]
+    found, want = odd_rows(spark, tmp_path, "plasma_scan", events)
+    assert found == want and len(want) == 5
+
+
+def test_plasma_scan_of_odd_events(spark, tmp_path):
+    """Ids below zero or missing, and events without a time or a value, as in the SQL."""
+    events = [(i, "2024-02-10 12:00:00.7", 1, "view", v) for i, v in ((9, "'infinity'"), (10, "'nan'"), (14, "null"), (-1, 7.0), (-2, 8.0), (-3, 9.0), (-4, 10.0), ("null", 11.0))]
+    events += [(15, None, 1, "view", 30.0), (20, "2023-12-31 23:59:59.5", 1, "view", 1.0), (24, "2024-07-01 00:00:00", 1, "click", 2.0)]
+    found, want = odd_rows(spark, tmp_path, "plasma_scan", events)
+    assert found == want and len(want) == 9
